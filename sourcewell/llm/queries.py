@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,12 +21,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import train_and_identify
+
+    return train_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report
+
+    return report(documents(spark, sf_dir))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import train_and_score
+
+    return train_and_score(documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
