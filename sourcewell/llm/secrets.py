@@ -27,6 +27,9 @@ SAMPLE_DOCUMENTS = 2_000
 #: A run is a secret from this log-likelihood ratio on, in all and for each step, and this number of distinct characters.
 MIN_RATIO, MIN_RATIO_STEP, MIN_DISTINCT = 20.0, 0.8, 10
 
+#: Weight of a character's overall frequency in the models' steps.
+BACK_OFF = 5.0
+
 _SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
@@ -65,7 +68,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def labelled_samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """value, random (boolean): a bounded sample. Random ones are what the base patterns find in the sampled
-    documents, and hashes of their ids in three spellings; ordinary ones are the other runs of those documents."""
+    documents, and hashes of their ids in three spellings; ordinary ones are the shorter runs of those documents, which
+    are never judged."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
     digest = F.sha2(F.concat(F.lit("random "), F.col("doc_id").cast("string")), 256)
     spelled = F.array(F.base64(F.unhex(digest)), digest, F.upper(F.translate(F.base64(F.unhex(digest)), "+/=", "")))
@@ -73,7 +77,7 @@ def labelled_samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Data
     texts = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi").select("text")
     base = f"(?:{ASSIGN.removeprefix('(?i)')})|(?:{ACCESS})|(?:{HEX})"
     found = texts.select(F.explode(F.expr(f"concat(filter(regexp_extract_all(text, {_sql(ASSIGN)}, 2), x -> length(x) >= {ASSIGN_MIN}), regexp_extract_all(text, {_sql(ACCESS)}, 0), regexp_extract_all(text, {_sql(HEX)}, 0))")).alias("value"), F.lit(True).alias("random"))
-    plain = texts.select(F.explode(F.expr(f"regexp_extract_all(regexp_replace(text, {_sql(base)}, ' '), '[A-Za-z0-9+/_=-]{{4,}}', 0)")).alias("value"), F.lit(False).alias("random"))
+    plain = texts.select(F.explode(F.expr(f"filter(regexp_extract_all(regexp_replace(text, {_sql(base)}, ' '), '[A-Za-z0-9+/_=-]{{4,}}', 0), x -> length(x) < 20)")).alias("value"), F.lit(False).alias("random"))
     return hashed.unionByName(found).unionByName(plain)
 
 
@@ -81,12 +85,15 @@ def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each step between two characters of ALPHABET, row by row, from value, random."""
     pairs = samples.select("random", F.explode(F.expr("transform(sequence(1, greatest(length(value) - 1, 1)), i -> substring(value, i, 2))")).alias("pair"))
     counts = {(r.random, r.pair): r["count"] for r in pairs.where(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").count().collect()}
-    table = []
-    for a in ALPHABET:
-        rows = {label: [counts.get((label, a + b), 0) + 0.5 for b in ALPHABET] for label in (True, False)}
-        sums = {label: sum(row) for label, row in rows.items()}
-        table += [math.log(x / sums[True]) - math.log(y / sums[False]) for x, y in zip(rows[True], rows[False], strict=True)]
-    return table
+    ratios = {}
+    for label in (True, False):
+        singles = {b: sum(counts.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+        total = sum(singles.values())
+        for a in ALPHABET:
+            n = sum(counts.get((label, a + b), 0) for b in ALPHABET) + BACK_OFF
+            for b in ALPHABET:
+                ratios[label, a + b] = math.log((counts.get((label, a + b), 0) + BACK_OFF * singles[b] / total) / n)
+    return [ratios[True, a + b] - ratios[False, a + b] for a in ALPHABET for b in ALPHABET]
 
 
 def _ratio(table: list[float]) -> str:
