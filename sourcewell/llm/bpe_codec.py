@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_core import Vocabulary, vocabulary
-from .common import map_texts
+from .common import cut, map_texts
 
-#: The words of the lexicon: the most frequent of the corpus. Bounds the file (about 30 bytes a word) and the driver.
-LEXICON_WORDS = 50_000
-#: Words and ids that a worker keeps in memory.
-MEMO_WORDS = 400_000
+#: Half the bound on the words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
+LEXICON_WORDS = 100_000
+#: Words and ids that a worker keeps in memory, twice: those seen since the last change of tables, and those before.
+MEMO_WORDS = 300_000
 
 
 @lru_cache(maxsize=1)
@@ -66,6 +66,8 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_texts(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
 # ---- the automaton -------------------------------------------------------------------------------------------------
 
 
@@ -142,24 +144,18 @@ class Lexicon:
 
         self.first, self.targets, self.weights = take(states + 1, "i", 4), take(arcs, "i", 4), take(arcs, "i", 4)
         self.bounds, self.ids = take(words + 1, "i", 4), take(n_ids, "i", 4)
-        self.finals, self.labels = take(states, "B", 1), take(arcs, "B", 1)
+        self.finals, self.labels_at, self.buffer = take(states, "B", 1), at, buffer
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word of the lexicon, else None."""
-        first, labels = self.first, self.labels
+        first, find, base = self.first, self.buffer.find, self.labels_at
         at, rank = self.root, 0
         for byte in word:
-            low, high = first[at], first[at + 1]
-            while low < high:
-                mid = (low + high) // 2
-                if labels[mid] < byte:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[at + 1] or labels[low] != byte:
+            arc = find(_BYTES[byte], base + first[at], base + first[at + 1]) - base
+            if arc < 0:
                 return None
-            rank += self.weights[low]
-            at = self.targets[low]
+            rank += self.weights[arc]
+            at = self.targets[arc]
         if not self.finals[at]:
             return None
         return self.ids[self.bounds[rank] : self.bounds[rank + 1]].tolist()
@@ -172,9 +168,14 @@ def _mapped(name: str) -> Lexicon:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
-    """Compile the corpus's most frequent words (ties by word) and give the file to all executors; returns its name."""
+    """Compile the corpus's most frequent words and give the file to all executors; returns its name.
+
+    A word gets in if at least one in 2 * `words` of all words is it, so no more than 2 * `words` can.
+    """
     spark = docs.sparkSession
-    top = word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = cut(word_counts(docs, tokenizer))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") * (2 * words) >= total).collect()
     vocab = vocabulary(tokenizer)
     distinct = [r.word.encode() for r in top]
     data = compile_lexicon(distinct, [vocab.merge(w) for w in distinct])
@@ -192,10 +193,18 @@ class _Words(dict):
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
         super().__init__()
         self.vocab, self.lexicon = vocab, lexicon
+        self.older: dict[str, list[int]] = {}
+
+    def age(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> list[int]:
         raw = word.encode()
-        ids = self.lexicon.find(raw)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.lexicon.find(raw)
         if ids is None:
             ids = self.vocab.merge(raw)
         if len(raw) <= 64:
@@ -210,8 +219,7 @@ def _words(tokenizer: str, lexicon: str) -> _Words:
 
 def encode_text(text: str, words: _Words) -> list[int]:
     """The ids of one text."""
-    if len(words) > MEMO_WORDS:
-        words.clear()
+    words.age()
     out: list[int] = []
     for piece, special in segments(text, words.vocab):
         if special >= 0:

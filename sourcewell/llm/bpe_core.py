@@ -5,9 +5,13 @@ from __future__ import annotations
 import heapq
 import json
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
+#: Stands for a pair that doesn't merge; above all ranks.
+_NONE = (1 << 60, -1)
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary file, by its published rule."""
@@ -76,15 +80,16 @@ class Vocabulary:
             return ids
         merges = self.merges
         if n <= 24:
-            while len(ids) > 1:
-                best, at, new = None, -1, -1
-                for i in range(len(ids) - 1):
-                    found = merges.get((ids[i], ids[i + 1]))
-                    if found and (best is None or found[0] < best):
-                        best, at, new = found[0], i, found[1]
-                if best is None:
-                    break
-                ids[at : at + 2] = [new]
+            get = merges.get
+            found = list(map(get, zip(ids, ids[1:]), repeat(_NONE)))  # noqa: B905
+            while found and (best := min(found)) is not _NONE:
+                i, new = found.index(best), best[1]
+                ids[i : i + 2] = [new]
+                del found[i]
+                if i:
+                    found[i - 1] = get((ids[i - 1], new), _NONE)
+                if i < len(found):
+                    found[i] = get((new, ids[i + 1]), _NONE)
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*merges[p], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merges]
