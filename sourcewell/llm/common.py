@@ -78,3 +78,12 @@ def cut(df: DataFrame) -> DataFrame:
 def learns(doc_id: str = "doc_id"):
     """True for documents that models may learn from: crc32 of the id's text mod 4 is not 2."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 != 2
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a DataFrame as a table in the shared folder and read it again: its rows are made once, in columns."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

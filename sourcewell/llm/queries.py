@@ -33,6 +33,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import report
 
