@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +124,15 @@ def train_and_identify(docs: DataFrame) -> DataFrame:
     """identify() for all rows of docs (doc_id, text, lang), trained on those that may be learned from; adds held_out."""
     model = train(docs.where(learns()))
     return identify(docs, model).withColumn("held_out", ~learns()).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
+
+
+def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, all columns unchanged, whose text classify() doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def kept(texts: pd.Series) -> pd.Series:
+        own = shared.value
+        return pd.Series([not classify(t, own, min_margin)[3] for t in texts], dtype=bool)
+
+    return docs.where(kept("text"))
