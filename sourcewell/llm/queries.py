@@ -57,6 +57,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no media; every vector of embeddings is drawn as an image, each fifth with an edited copy."""
+    from .media import copies, media_of
+
+    return copies(media_of(table(spark, sf_dir, "embeddings")))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
