@@ -50,11 +50,15 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONAR
     read. The sample is bounded by this module's constants.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    langs = list(counts)
     if not langs:
         return ()
+    # Keys are evenly spread below 2 ** 30: a bound for each language lets about four times the sample through to the ranking.
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 34)
+    bound = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1 << 30, -(-(4 * sample + 64 << 30) // n)))) for lang, n in counts.items()))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    ids = known.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id")
+    ids = known.select("doc_id", "lang", key.alias("key")).where(F.col("key") < bound).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id")
     chosen = sorted({r.doc_id for r in ids.collect()})
     texts = known.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(langs)).select("lang", F.xxhash64("doc_id").alias("key"), "doc_id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
     content: dict[str, bytes] = {}
