@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .bpe_core import Vocabulary, vocabulary
 from .common import cut, map_texts
 
-#: Half the bound on the words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
-LEXICON_WORDS = 100_000
+#: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
+LEXICON_WORDS = 60_000
 #: Words and ids that a worker keeps in memory, twice: those seen since the last change of tables, and those before.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 
 
 @lru_cache(maxsize=1)
@@ -170,12 +170,18 @@ def _mapped(name: str) -> Lexicon:
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
     """Compile the corpus's most frequent words and give the file to all executors; returns its name.
 
-    A word gets in if at least one in 2 * `words` of all words is it, so no more than 2 * `words` can.
+    Words are grouped by the size of their counts, eight groups to a doubling; the groups with the largest counts
+    whose words are no more than `words` together are in it.
     """
     spark = docs.sparkSession
-    counts = cut(word_counts(docs, tokenizer))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.where(F.col("n") * (2 * words) >= total).collect()
+    counts = cut(word_counts(docs, tokenizer)).withColumn("size", F.floor(F.log2("n") * 8))
+    room, least = words, None
+    for r in sorted(counts.groupBy("size").count().collect(), reverse=True):  # a few hundred groups at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    top = counts.where(F.col("size") >= least).collect() if least is not None else []
     vocab = vocabulary(tokenizer)
     distinct = [r.word.encode() for r in top]
     data = compile_lexicon(distinct, [vocab.merge(w) for w in distinct])
@@ -188,28 +194,33 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -
 
 
 class _Words(dict):
-    """Ids of the words seen lately: from the lexicon, else merged."""
+    """The words seen lately: their ids as decimal text, the ids, and the bytes that these decode to. The ids are from
+    the lexicon, else merged; the bytes are those of the ids, not of the word."""
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
         super().__init__()
         self.vocab, self.lexicon = vocab, lexicon
-        self.older: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[str, list[int], bytes]] = {}
+
+    def decoded(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.vocab.tokens.__getitem__, ids))
 
     def age(self) -> None:
         if len(self) > MEMO_WORDS:
             self.older = dict(self)
             self.clear()
 
-    def __missing__(self, word: str) -> list[int]:
-        raw = word.encode()
-        ids = self.older.get(word)
-        if ids is None:
+    def __missing__(self, word: str) -> tuple[str, list[int], bytes]:
+        found = self.older.get(word)
+        if found is None:
+            raw = word.encode()
             ids = self.lexicon.find(raw)
-        if ids is None:
-            ids = self.vocab.merge(raw)
-        if len(raw) <= 64:
-            self[word] = ids
-        return ids
+            if ids is None:
+                ids = self.vocab.merge(raw)
+            found = (",".join(map(str, ids)), ids, self.decoded(ids))
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -217,18 +228,23 @@ def _words(tokenizer: str, lexicon: str) -> _Words:
     return _Words(vocabulary(tokenizer), _mapped(lexicon))
 
 
-def encode_text(text: str, words: _Words) -> list[int]:
-    """The ids of one text."""
+def encoded_words(text: str, words: _Words) -> list[tuple[str, list[int], bytes]]:
+    """The words of one text with their ids, special strings among them."""
     words.age()
-    out: list[int] = []
-    for piece, special in segments(text, words.vocab):
-        if special >= 0:
-            out.append(special)
-        elif piece:
-            out.extend(chain.from_iterable(map(words.__getitem__, splitter().findall(piece))))
+    parts = segments(text, words.vocab)
+    if len(parts) == 1 and parts[0][1] < 0:
+        return list(map(words.__getitem__, splitter().findall(text)))
+    out: list[tuple[str, list[int], bytes]] = []
+    for piece, special in parts:
+        out.extend([(str(special), [special], words.decoded([special]))] if special >= 0 else map(words.__getitem__, splitter().findall(piece)))
     return out
 
 
+def encode_text(text: str, words: _Words) -> list[int]:
+    """The ids of one text."""
+    return list(chain.from_iterable([ids for _, ids, _ in encoded_words(text, words)]))
+
+
 def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
     """The text of ids, special ones included; bytes that are no UTF-8 become replacement characters."""
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -269,18 +285,14 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> D
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         words = _words(tokenizer, lexicon)
-        names = _names(tokenizer)
         out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in rows["text"]:
-            ids = encode_text(text or "", words)
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decode_ids(ids, words.vocab).encode()).hexdigest())
+            found = encoded_words(text or "", words)
+            listed = ",".join([x for x, _, _ in found])
+            out["n_tokens"].append(listed.count(",") + 1 if listed else 0)
+            out["ids_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([x for _, _, x in found]).decode("utf-8", errors="replace").encode()).hexdigest())
         return out
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-@lru_cache(maxsize=2)
-def _names(tokenizer: str) -> dict[int, str]:
-    return {i: str(i) for i in vocabulary(tokenizer).tokens}
