@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import research, tables
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return research.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return research.SQL | tables.SQL
