@@ -28,7 +28,7 @@ from .common import cut, map_texts
 #: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
 LEXICON_WORDS = 60_000
 #: Words and ids that a worker keeps in memory, twice: those seen since the last change of tables, and those before.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 
 @lru_cache(maxsize=1)

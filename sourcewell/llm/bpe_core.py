@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -35,11 +35,17 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (to_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        self.byte_ids = [self.ids.get(bytes([b]), -1) for b in range(256)]
+        self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        for content, i in self.specials.items():
+            self.tokens[i] = content.encode()
+
+    @cached_property
+    def edges(self) -> dict[int, tuple[list, list]]:
+        """For each token the chain of its parts at its left and right edge, smallest first, each with the rank of the
+        merge that takes it up (never, for the token itself)."""
         halves = {new: (a, b, rank) for (a, b), (rank, new) in self.merges.items()}
-        never = len(self.merges)
-        #: For each token the chain of its parts at its left and right edge, smallest first, each with the rank of the
-        #: merge that takes it up (never, for the token itself).
-        self.edges: dict[int, tuple[list, list]] = {}
+        never, out = len(self.merges), {}
         for token in self.ids.values():
             chains = []
             for side in (0, 1):
@@ -50,11 +56,8 @@ class Vocabulary:
                         break
                     rank, at = halves[at][2], halves[at][side]
                 chains.append(chain[::-1])
-            self.edges[token] = (chains[0], chains[1])
-        self.byte_ids = [self.ids.get(bytes([b]), -1) for b in range(256)]
-        self.specials: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for content, i in self.specials.items():
-            self.tokens[i] = content.encode()
+            out[token] = (chains[0], chains[1])
+        return out
 
     def fits(self, a: int, b: int) -> bool:
         """True if merging the joined bytes of two tokens gives the two again: no merge ever crosses their border."""

@@ -11,6 +11,7 @@ question with other numbers or names is caught and a chance meeting of templates
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ MIN_COVERAGE = 0.5
 MIN_LITERAL = 0.5
 #: Bits of the bitmap of benchmark windows: its size, 2 MB, doesn't depend on the data.
 BITMAP_BITS = 24
-VOCABULARY_LIMIT = 500_000
+VOCABULARY_LIMIT = 250_000
 
 UNITS = set(
     "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons "
@@ -43,8 +44,11 @@ class _Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple] = []
-        self.arrays: tuple | None = None
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.hashes, self.flags = array("Q"), array("B")
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -53,17 +57,18 @@ class _Vocabulary(dict):
         small = bare.lower()
         number = bool(_NUMBER.match(bare))
         name = not number and len(bare) > 1 and bare[0].isupper() and any(c.islower() for c in bare[1:])
-        literal = np.uint64(xxhash.xxh64_intdigest(small.encode()))
-        self.rows.append((literal, _NUM if number else _LITERAL, _NUM if number else _NAME if name else _LITERAL, word.rstrip("\"')]»”")[-1:] in ".!?:", small in UNITS, bool(small)))
-        self[word] = n = len(self.rows) - 1
-        self.arrays = None
+        first = _NUM if number else _LITERAL
+        later = _NUM if number else _NAME if name else _LITERAL
+        ends = word.rstrip("\"')]»”")[-1:] in ".!?:"
+        self.hashes.append(xxhash.xxh64_intdigest(small.encode()))
+        self.flags.append(first | later << 2 | ends << 4 | (small in UNITS) << 5 | bool(small) << 6)
+        self[word] = n = len(self.flags) - 1
         return n
 
     def columns(self) -> tuple:
-        if self.arrays is None:
-            hashes, first, later, ends, unit, kept = zip(*self.rows, strict=True)
-            self.arrays = np.array(hashes, np.uint64), np.array(first, np.uint8), np.array(later, np.uint8), np.array(ends, bool), np.array(unit, bool), np.array(kept, bool)
-        return self.arrays
+        """Hash, kind at the start of a sentence and elsewhere, whether a sentence ends, unit, and not only signs."""
+        flags = np.array(self.flags, np.uint8)
+        return np.array(self.hashes, np.uint64), flags & 3, flags >> 2 & 3, (flags >> 4 & 1).astype(bool), (flags >> 5 & 1).astype(bool), (flags >> 6 & 1).astype(bool)
 
 
 @lru_cache(maxsize=1)
@@ -80,12 +85,11 @@ def template(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.nd
     left out. A capitalised word is a name unless it begins the text or follows the end of a sentence."""
     vocab = _vocabulary()
     if len(vocab) > VOCABULARY_LIMIT:
-        vocab.clear()
-        vocab.rows = []
+        vocab.empty()
     split = [(t or "").split() for t in texts]
     numbers = [np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)) for words in split]
     out = []
-    hashes, first, later, ends, unit, kept = vocab.columns() if vocab.rows else (np.zeros(0, np.uint64),) * 6
+    hashes, first, later, ends, unit, kept = vocab.columns()
     for words, n in zip(split, numbers, strict=True):
         if len(n) and not (keep := kept[n]).all():
             at = np.flatnonzero(keep)
