@@ -27,8 +27,9 @@ from .common import cut, map_texts
 
 #: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
 LEXICON_WORDS = 60_000
-#: Words and ids that a worker keeps in memory, twice: those seen since the last change of tables, and those before.
-MEMO_WORDS = 150_000
+#: Words that a worker keeps in memory, twice: those seen since the last change of tables, and those before. About
+#: 400 bytes a word; a pipeline's workers hold other stages' tables as well, so it uses fewer than a query of its own.
+MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 150_000
 
 
 @lru_cache(maxsize=1)
@@ -197,16 +198,16 @@ class _Words(dict):
     """The words seen lately: their ids as decimal text, the ids, and the bytes that these decode to. The ids are from
     the lexicon, else merged; the bytes are those of the ids, not of the word."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, memo: int = MEMO_WORDS):
         super().__init__()
-        self.vocab, self.lexicon = vocab, lexicon
+        self.vocab, self.lexicon, self.memo = vocab, lexicon, memo
         self.older: dict[str, tuple[str, list[int], bytes]] = {}
 
     def decoded(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocab.tokens.__getitem__, ids))
 
     def age(self) -> None:
-        if len(self) > MEMO_WORDS:
+        if len(self) > self.memo:
             self.older = dict(self)
             self.clear()
 
@@ -224,8 +225,8 @@ class _Words(dict):
 
 
 @lru_cache(maxsize=2)
-def _words(tokenizer: str, lexicon: str) -> _Words:
-    return _Words(vocabulary(tokenizer), _mapped(lexicon))
+def _words(tokenizer: str, lexicon: str, memo: int) -> _Words:
+    return _Words(vocabulary(tokenizer), _mapped(lexicon), memo)
 
 
 def encoded_words(text: str, words: _Words) -> list[tuple[str, list[int], bytes]]:
@@ -250,12 +251,12 @@ def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, memo: int = MEMO_WORDS) -> DataFrame:
     """doc_id and ids (array of int) for each row of docs (doc_id, text); a null or empty text gives no ids."""
     lexicon = lexicon or build_lexicon(docs, tokenizer)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        words = _words(tokenizer, lexicon)
+        words = _words(tokenizer, lexicon, memo)
         return {"doc_id": rows["doc_id"], "ids": [encode_text(t or "", words) for t in rows["text"]]}
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
@@ -284,7 +285,7 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> D
     lexicon = lexicon or build_lexicon(docs, tokenizer)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        words = _words(tokenizer, lexicon)
+        words = _words(tokenizer, lexicon, MEMO_WORDS)
         out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
         for text in rows["text"]:
             found = encoded_words(text or "", words)
