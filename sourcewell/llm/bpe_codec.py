@@ -29,7 +29,7 @@ from .common import cut, map_texts
 LEXICON_WORDS = 60_000
 #: Words that a worker keeps in memory, twice: those seen since the last change of tables, and those before. About
 #: 400 bytes a word; a pipeline's workers hold other stages' tables as well, so it uses fewer than a query of its own.
-MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 150_000
+MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 100_000
 
 
 @lru_cache(maxsize=1)
@@ -252,14 +252,16 @@ def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, memo: int = MEMO_WORDS) -> DataFrame:
-    """doc_id and ids (array of int) for each row of docs (doc_id, text); a null or empty text gives no ids."""
+    """doc_id and ids (array of int) for each row of docs (doc_id, text); a null or empty text gives no ids. With a
+    smaller memo than usual, workers free it after each partition."""
     lexicon = lexicon or build_lexicon(docs, tokenizer)
+    done = _words.cache_clear if memo < MEMO_WORDS else None
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         words = _words(tokenizer, lexicon, memo)
         return {"doc_id": rows["doc_id"], "ids": [encode_text(t or "", words) for t in rows["text"]]}
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>", done=done)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

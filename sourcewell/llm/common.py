@@ -38,10 +38,11 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, column: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, column: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
     """Map row slices in Python: fn gets and returns a dict of equal-length lists, by column name.
 
-    fn's result may have another number of rows. Rows never leave their partition, so nothing is shuffled.
+    fn's result may have another number of rows. Rows never leave their partition, so nothing is shuffled. done runs
+    when a partition ends; it can free tables that a worker would otherwise keep for its next task.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -53,6 +54,8 @@ def map_texts(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
             for part in slices(batch, column):
                 out = fn(part.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

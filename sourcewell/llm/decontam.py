@@ -149,7 +149,7 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+def document_windows(docs: DataFrame, items: DataFrame, keep_words: bool = True) -> DataFrame:
     """doc_id, start, width, h and slots of the document windows whose hashes the bitmap has."""
     widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most WINDOW values
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
@@ -166,19 +166,20 @@ def document_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
                         out[k].append(v)
         return out
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, start int, width int, h long, slots array<string>")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, start int, width int, h long, slots array<string>", done=None if keep_words else _vocabulary.cache_clear)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, keep_words: bool = True) -> DataFrame:
     """doc_id, item_id, coverage and verbatim for each document (doc_id, text) that holds a benchmark item (item_id, text).
 
     coverage is the share of the item's windows that the best occurrence matches; verbatim says that its slots are
     filled as in the item. Null, empty and wordless texts and items match nothing; an item of fewer words than a
     window is one window; repeated rows count once; an item that occurs twice in a text is reported once. Either
-    table may be empty. Whole texts are read, other columns are not.
+    table may be empty. Whole texts are read, other columns are not. keep_words lets workers keep their table of words
+    from task to task, which is faster and takes about 100 MB each.
     """
     items = item_windows(benchmark)
-    found = document_windows(docs, items).join(items.withColumnRenamed("slots", "own"), ["h", "width"])
+    found = document_windows(docs, items, keep_words).join(items.withColumnRenamed("slots", "own"), ["h", "width"])
     pairs = F.expr("array_distinct(transform(own, (x, i) -> struct(x as item, get(slots, i) as doc)))")
     hits = (
         found.where(F.size("own") == F.size("slots"))

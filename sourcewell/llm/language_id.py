@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import learns, map_texts
+from .common import learns, map_texts, slices
 
 #: Bounds of the labelled sample: documents per language (by a hash of the id), characters taken from each of them,
 #: bytes of a dictionary, and languages (those with most documents).
@@ -134,9 +134,10 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_m
     """The rows of docs, all columns unchanged, whose text classify() doesn't reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
+    def run(batches):
         own = shared.value
-        return pd.Series([not classify(t, own, min_margin)[3] for t in texts], dtype=bool)
+        for batch in batches:
+            keep = [not classify(t, own, min_margin)[3] for part in slices(batch, "text") for t in part.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(kept("text"))
+    return docs.mapInArrow(run, docs.schema)
