@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -101,31 +100,20 @@ def _place():
     return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - BITMAP_BITS)
 
 
-def bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size that has the hash of every doc_id of ids."""
-    import numpy as np
+def bitmap(ids: DataFrame) -> DataFrame:
+    """A bitmap that has the hash of every doc_id of ids: at most 2 ** (BITMAP_BITS - 5) rows of 32 bits."""
+    place = ids.select(_place().alias("p"))
+    return place.groupBy(F.shiftright("p", 5).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("__bits"))
 
-    words = ids.select(_place().alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
-    for r in words.collect():  # at most 2 ** (BITMAP_BITS - 5) rows
-        out[r.word] = r.bits
-    return out.tobytes()
 
-
-def maybe_in(docs: DataFrame, ids: DataFrame, bits: bytes | None = None, inside: bool = True) -> DataFrame:
+def maybe_in(docs: DataFrame, ids: DataFrame, bits: DataFrame | None = None, inside: bool = True) -> DataFrame:
     """Rows of docs whose doc_id the bitmap of ids has; or, with inside false, those it doesn't have.
 
-    Rows that aren't inside are surely not in ids, so they need no join and don't travel; how many of the others
-    there are falls with the share of ids, and is never less than right.
+    Rows that aren't inside are surely not in ids, so they need no shuffled join and don't travel; how many of the
+    others there are falls with the share of ids, and is never less than right. The bitmap's size is bounded, so it
+    is broadcast whatever the tables' sizes.
     """
-    import numpy as np
-
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids) if bits is None else bits)
-
-    @F.pandas_udf("boolean")
-    def has(place: pd.Series) -> pd.Series:
-        words = np.frombuffer(shared.value, np.uint32)
-        p = place.to_numpy(np.int64)
-        return pd.Series((words[p >> 5] >> (p & 31).astype(np.uint32)) & 1 > 0)
-
-    return docs.where(has(_place()) == inside)
+    words = F.broadcast(bitmap(ids) if bits is None else bits)
+    has = F.coalesce(F.expr("__bits & shiftleft(1L, cast(__place & 31 as int))"), F.lit(0)) != 0
+    rows = docs.withColumn("__place", _place()).withColumn("__word", F.shiftright("__place", 5))
+    return rows.join(words, "__word", "left").where(has == inside).select(*docs.columns)
