@@ -2,10 +2,12 @@
 
 Words become template words: numbers, names and units turn into typed placeholders, the rest is lower-cased and
 stripped of signs. Windows of template words are hashed. The benchmark's windows are also kept as a bitmap of fixed
-size, which drops nearly all document windows before the hash join; the join then decides. Matches that lie on one
-diagonal of document and item positions form an occurrence. It counts if it covers enough of the item and its slots
-are consistent: each filler of the item corresponds to one filler of the document and the other way round, so a
-question with other numbers or names is caught and a chance meeting of templates is not.
+size, which drops nearly all document windows before the hash join; the join then decides. A run of name words, or of
+numbers and units, is one placeholder, so fillers may differ in their number of words. Matches in a row on one diagonal
+of document and item positions form a block; blocks that follow each other in both texts on neighbouring diagonals form
+an occurrence, so words may be inserted or missing. It counts if it covers enough of the item and its slots are
+consistent: each filler of the item corresponds to one filler of the document, so a question with other numbers or
+names is caught and a chance meeting of templates is not.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
 
 WINDOW = 8
-#: Share of an item's windows that an occurrence must match.
+#: Share of an item's windows that an occurrence must match; those over an edit count if matches meet around it.
 MIN_COVERAGE = 0.5
+#: Blocks of an occurrence may be that share of the item's words apart in their diagonals, or a window if that is more.
+MAX_DRIFT = 0.25
 #: Share of a window's words that must be no placeholders; an item without such windows keeps all, and counts if verbatim.
 MIN_LITERAL = 0.5
 #: Bits of the bitmap of benchmark windows: its size, 2 MB, doesn't depend on the data.
@@ -61,14 +66,14 @@ class _Vocabulary(dict):
         later = _NUM if number else _NAME if name else _LITERAL
         ends = word.rstrip("\"')]»”")[-1:] in ".!?:"
         self.hashes.append(xxhash.xxh64_intdigest(small.encode()))
-        self.flags.append(first | later << 2 | ends << 4 | (small in UNITS) << 5 | bool(small) << 6)
+        self.flags.append(first | later << 2 | ends << 4 | (small in UNITS) << 5 | bool(small) << 6 | (ends or word[-1:] in ",;") << 7)
         self[word] = n = len(self.flags) - 1
         return n
 
     def columns(self) -> tuple:
-        """Hash, kind at the start of a sentence and elsewhere, whether a sentence ends, unit, and not only signs."""
+        """Hash, kind at the start of a sentence and elsewhere, whether a sentence ends, unit, not only signs, pause."""
         flags = np.array(self.flags, np.uint8)
-        return np.array(self.hashes, np.uint64), flags & 3, flags >> 2 & 3, (flags >> 4 & 1).astype(bool), (flags >> 5 & 1).astype(bool), (flags >> 6 & 1).astype(bool)
+        return np.array(self.hashes, np.uint64), flags & 3, flags >> 2 & 3, (flags >> 4 & 1).astype(bool), (flags >> 5 & 1).astype(bool), (flags >> 6 & 1).astype(bool), (flags >> 7).astype(bool)
 
 
 @lru_cache(maxsize=1)
@@ -76,20 +81,21 @@ def _vocabulary() -> _Vocabulary:
     return _Vocabulary()
 
 
-_PLACEHOLDERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_PLACEHOLDERS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def template(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
-    """For each text its words, the hashes of its template words and whether each is a slot. Words of signs only are
-    left out. A capitalised word is a name unless it begins the text or follows the end of a sentence."""
+def template(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its words and their hashes, the places of its template words, their hashes and whether each is a
+    slot. Words of signs only are left out. A capitalised word is a name unless it begins the text or follows the end
+    of a sentence. Name words in a row are one slot, and so are numbers and units, up to a pause."""
     vocab = _vocabulary()
     if len(vocab) > VOCABULARY_LIMIT:
         vocab.empty()
     split = [(t or "").split() for t in texts]
     numbers = [np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)) for words in split]
     out = []
-    hashes, first, later, ends, unit, kept = vocab.columns()
+    hashes, first, later, ends, unit, kept, pause = vocab.columns()
     for words, n in zip(split, numbers, strict=True):
         if len(n) and not (keep := kept[n]).all():
             at = np.flatnonzero(keep)
@@ -98,8 +104,13 @@ def template(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.nd
             starts = np.append(True, ends[n][:-1]) if len(n) else np.zeros(0, bool)
         kinds = np.where(starts, first[n], later[n])
         after = np.append(False, kinds[:-1] == _NUM) if len(n) else np.zeros(0, bool)
-        kinds = np.where(unit[n] & after, 3, kinds)
-        out.append((words, np.where(kinds == _LITERAL, hashes[n], _PLACEHOLDERS[kinds]), kinds != _LITERAL))
+        kinds = np.where(unit[n] & after, _NUM, kinds)
+        own = hashes[n]
+        begins = np.ones(len(n), bool)
+        begins[1:] = (kinds[1:] == _LITERAL) | (kinds[1:] != kinds[:-1]) | pause[n][:-1]
+        at = np.flatnonzero(begins)
+        kinds = kinds[at]
+        out.append((words, own, np.append(at, len(n)), np.where(kinds == _LITERAL, own[at], _PLACEHOLDERS[kinds]), kinds != _LITERAL))
     return out
 
 
@@ -116,27 +127,32 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _slots(words: list[str], slot: np.ndarray, at: int, width: int) -> list[str]:
-    return [_SIGNS.sub("", words[i]).lower() for i in range(at, at + width) if slot[i]]
+def _slots(words: list[str], places: np.ndarray, slot: np.ndarray, at: int, width: int) -> list[str]:
+    return ["".join(_SIGNS.sub("", w).lower() for w in words[places[i] : places[i + 1]]) for i in range(at, at + width) if slot[i]]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, width, h, slots, total (windows kept of the item) and verbatim (only equal slots count)."""
+    """item_id, pos, width, h, slots, total (windows kept of the item), words (that those have) and verbatim (windows
+    of plain words, as the template has too few of them)."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("item_id", "pos", "width", "h", "slots", "total", "verbatim")}
-        for item, (words, hashes, slot) in zip(rows["item_id"], template(rows["text"]), strict=True):
-            width = min(WINDOW, len(words))
+        out: dict[str, list] = {k: [] for k in ("item_id", "pos", "width", "h", "slots", "total", "words", "verbatim")}
+        for item, (words, own, places, hashes, slot) in zip(rows["item_id"], template(rows["text"]), strict=True):
+            width = min(WINDOW, len(hashes))
             found = windows(hashes, width) if width else []
             kept = [i for i in range(len(found)) if (~slot[i : i + width]).sum() >= MIN_LITERAL * width]
             verbatim = not kept
-            kept = kept or list(range(len(found)))
+            if verbatim:
+                width = min(WINDOW, len(words))
+                found = windows(own, width) if width else []
+                kept, slot = list(range(len(found))), np.zeros(len(words), bool)
+            held = len({i + k for i in kept for k in range(width)})
             for i in kept:
-                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _slots(words, slot, i, width), len(kept), verbatim), strict=True):
+                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _slots(words, places, slot, i, width), len(kept), held, verbatim), strict=True):
                     out[k].append(v)
         return out
 
-    return map_texts(benchmark.select("item_id", "text"), run, "item_id long, pos int, width int, h long, slots array<string>, total int, verbatim boolean")
+    return map_texts(benchmark.select("item_id", "text"), run, "item_id long, pos int, width int, h long, slots array<string>, total int, words int, verbatim boolean")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -150,47 +166,89 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 
 
 def document_windows(docs: DataFrame, items: DataFrame, keep_words: bool = True) -> DataFrame:
-    """doc_id, start, width, h and slots of the document windows whose hashes the bitmap has."""
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most WINDOW values
+    """doc_id, start, width, verbatim, h and slots of the document windows whose hashes the bitmap has."""
+    kinds = sorted((r.width, r.verbatim) for r in items.select("width", "verbatim").distinct().collect())  # at most 2 * WINDOW values
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         bits = shared.value
-        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "width", "h", "slots")}
-        for doc, (words, hashes, slot) in zip(rows["doc_id"], template(rows["text"]), strict=True):
-            for width in widths:
-                found = windows(hashes, width)
+        out: dict[str, list] = {k: [] for k in ("doc_id", "start", "width", "verbatim", "h", "slots")}
+        for doc, (words, own, places, hashes, slot) in zip(rows["doc_id"], template(rows["text"]), strict=True):
+            for width, verbatim in kinds:
+                found = windows(own if verbatim else hashes, width)
                 place = (found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 for i in np.flatnonzero(bits[place >> 3] >> (place & 7) & 1).tolist():
-                    for k, v in zip(out, (doc, i, width, int(found[i].view(np.int64)), _slots(words, slot, i, width)), strict=True):
+                    for k, v in zip(out, (doc, i, width, verbatim, int(found[i].view(np.int64)), [] if verbatim else _slots(words, places, slot, i, width)), strict=True):
                         out[k].append(v)
         return out
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, start int, width int, h long, slots array<string>", done=None if keep_words else _vocabulary.cache_clear)
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, start int, width int, verbatim boolean, h long, slots array<string>", done=None if keep_words else _vocabulary.cache_clear)
+
+
+def _merged(x: dict[str, str], y: dict[str, str]) -> dict[str, str] | None:
+    """Both fillers' tables, or None if an item's filler has two of the document."""
+    return x | y if all(x.get(k, v) == v for k, v in y.items()) else None
+
+
+def _blocks(hits: list[dict]) -> list[tuple[int, int, int, int, dict[str, str]]]:
+    """First and last start, first and last pos, fillers: hits in a row on one diagonal, if their slots are consistent."""
+    out, rows = [], sorted({(h["start"] - h["pos"], h["start"]): h for h in hits}.items())
+    for k, ((diagonal, start), hit) in enumerate(rows):
+        if not k or rows[k - 1][0] != (diagonal, start - 1):
+            out.append([start, start, hit["pos"], hit["pos"], {}])
+        block = out[-1]
+        block[1], block[3] = start, hit["pos"]
+        for x, y in zip(hit["own"], hit["slots"], strict=True):
+            if block[4] is not None:
+                block[4] = _merged(block[4], {x: y})
+    return sorted(tuple(b) for b in out if b[4] is not None)
+
+
+def occurrence(hits: list[dict], width: int, total: int, words: int, min_coverage: float) -> tuple[float, bool] | None:
+    """Coverage and verbatim of the best occurrence of an item in a text, if one has enough; hits: start, pos, own, slots.
+
+    Each block is joined to the chain of earlier blocks that covers most with it.
+    """
+    drift, best = max(WINDOW, int(MAX_DRIFT * words)), None
+    chains: list[tuple] = []
+    for block in sorted(_blocks(hits), key=lambda b: b[:4]):
+        first, last, low, high, fillers = block
+        own = (set(range(low, high + 1)), set(range(low, high + width)), fillers)
+        most = own
+        for before, (pos, held, table) in reversed(chains):
+            if first - before[0] > 2 * (words + drift):
+                break
+            if before[1] < last and before[0] < first and before[2] < low and before[3] < high and abs((first - low) - (before[0] - before[2])) <= drift:
+                if len(held | own[1]) > len(most[1]) and (both := _merged(table, fillers)) is not None:
+                    most = (pos | own[0], held | own[1], both)
+        chains.append((block, most))
+        coverage = min(1.0, max(len(most[0]) / total, (len(most[1]) - width + 1) / (words - width + 1)))
+        if coverage >= min_coverage:
+            same = all(x == y for x, y in most[2].items())
+            best = (max(coverage, best[0]), same or best[1]) if best else (coverage, same)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, keep_words: bool = True) -> DataFrame:
     """doc_id, item_id, coverage and verbatim for each document (doc_id, text) that holds a benchmark item (item_id, text).
 
-    coverage is the share of the item's windows that the best occurrence matches; verbatim says that its slots are
+    coverage is the share of the item's windows that the best occurrence matches, as if its words were in a row; verbatim says that its slots are
     filled as in the item. Null, empty and wordless texts and items match nothing; an item of fewer words than a
     window is one window; repeated rows count once; an item that occurs twice in a text is reported once. Either
     table may be empty. Whole texts are read, other columns are not. keep_words lets workers keep their table of words
     from task to task, which is faster and takes about 100 MB each.
     """
     items = item_windows(benchmark)
-    found = document_windows(docs, items, keep_words).join(items.withColumnRenamed("slots", "own"), ["h", "width"])
-    pairs = F.expr("array_distinct(transform(own, (x, i) -> struct(x as item, get(slots, i) as doc)))")
+    found = document_windows(docs, items, keep_words).join(items.withColumnRenamed("slots", "own"), ["h", "width", "verbatim"])
     hits = (
         found.where(F.size("own") == F.size("slots"))
-        .groupBy("doc_id", "item_id", (F.col("start") - F.col("pos")).alias("diagonal"))
-        .agg(F.collect_set("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.first("total").alias("total"), F.first("verbatim").alias("only"))
-    )
-    same = F.expr("forall(pairs, p -> p.item = p.doc)")
-    consistent = F.expr("size(array_distinct(pairs.item)) = size(pairs) and size(array_distinct(pairs.doc)) = size(pairs)")
-    hits = hits.withColumn("coverage", F.size("pos") / F.col("total")).withColumn("verbatim", same)
-    return (
-        hits.where((F.col("coverage") >= min_coverage) & consistent & (F.col("verbatim") | ~F.col("only")))
         .groupBy("doc_id", "item_id")
-        .agg(F.max("coverage").alias("coverage"), F.max("verbatim").alias("verbatim"))
+        .agg(F.collect_set(F.struct("start", "pos", "own", "slots")).alias("hits"), F.first("width").alias("width"), F.first("total").alias("total"), F.first("words").alias("words"))
     )
+
+    def judge(batches):
+        for batch in batches:
+            rows = [(r["doc_id"], r["item_id"], *best) for r in batch.to_pylist() if (best := occurrence(r["hits"], r["width"], r["total"], r["words"], min_coverage))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])
+
+    return hits.mapInArrow(judge, "doc_id long, item_id long, coverage double, verbatim boolean")

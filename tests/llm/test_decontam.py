@@ -49,3 +49,18 @@ def test_empty_tables(spark):
     assert leaks(docs.limit(0), items).count() == 0
     assert leaks(docs, items.limit(0)).count() == 0
     assert leaks(docs, items).count() == 1
+
+
+def test_inserted_and_missing_words_and_longer_fillers(spark):
+    long = " ".join(f"v{i}q" for i in range(37))
+    w = long.split()
+    docs = [
+        (1, " ".join(["so", *w[:18], "new", *w[18:], "end"])), (2, " ".join([*w[:18], *w[19:]])),
+        (3, " ".join([*w[:12], "new", *w[12:25], *w[26:]])), (4, " ".join(w[:9]) + " and then " + " ".join(w[20:28])),
+        (5, ITEM.replace("Maria", "Mary Ann").replace("5 kg", "5kg").replace("Pedro", "Karl Otto")), (6, ITEM.replace("12", "1 000")),
+        (7, ITEM.replace("12", "5").replace("5 kg", "5 lb")), (8, ITEM.replace("12 apples and", "31 apples and")),
+    ]
+    items = spark.createDataFrame([(1, ITEM), (2, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 2), (2, 2), (3, 2), (5, 1), (6, 1), (7, 1)}
+    assert got[1, 2].coverage == 1 and 0.9 < got[2, 2].coverage < 1 and got[1, 2].verbatim and got[5, 1].coverage == 1
