@@ -412,8 +412,9 @@ def fallback_gate(spark, sf):
     return coverage.fallback_rows(s.where("source_id % 7 = source_id % 2"), s.where("source_id % 3 = 1"), 12).select("run_id", "source_id")
 
 
-def _texts(spark, sf):
-    return decorated(spark, sf).withColumn("text", F.concat_ws(" ", "title", F.substring("transcript", 1, 600)))
+def _texts(spark, sf, most=6000):
+    """Sources with the text that decisions are mined from; the surveyed feature takes 6,000 characters of a transcript."""
+    return decorated(spark, sf).withColumn("text", F.concat_ws(" ", "title", F.substring("transcript", 1, most)))
 
 
 @query()
@@ -437,7 +438,7 @@ def _no_names(spark):
 
 @query(f"with {_DIMS} select run_id, term, n_sources, score, rank from dims")
 def dimensions(spark, sf):
-    return decision.dimensions(_texts(spark, sf), _no_names(spark)).select("run_id", "term", "n_sources", F.col("score").cast("long").alias("score"), "rank")
+    return decision.dimensions(_texts(spark, sf, 600), _no_names(spark)).select("run_id", "term", "n_sources", F.col("score").cast("long").alias("score"), "rank")
 
 
 @query()
