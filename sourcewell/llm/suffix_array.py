@@ -15,25 +15,28 @@ def words8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes' first `depth` bytes at least, by Larsson-Sadakane refinement.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes, by Larsson-Sadakane refinement.
 
-    Groups of suffixes that agree on h bytes are sorted by the groups h bytes further on; h doubles; groups of one
-    are left alone from then on. A group's number is where it starts in the order.
+    Groups of suffixes that agree on h bytes are sorted by the groups h bytes further on; h doubles until every group
+    is one suffix; groups of one are left alone from then on. A group's number is where it starts in the order. Sorts
+    double their depth, so even a text of one repeated byte takes no more than log2(n) of them.
     """
     n = len(text)
-    first = words8(text)
-    order = np.argsort(first, kind="stable")
-    key = first[order]
-    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.zeros(0, np.int64)
+    first = words8(text)[::-1]
+    order = n - 1 - np.argsort(first, kind="stable")  # of suffixes with equal padded words, shorter ones come first
+    key = words8(text)[order]
+    short = order > n - 8  # no other suffix agrees with such a one on eight bytes
+    fresh = np.append(True, (key[1:] != key[:-1]) | short[:-1])[:n]
+    heads = np.flatnonzero(fresh)
     sizes = np.diff(np.append(heads, n))
     group = np.full(n + 1, -1, np.int64)
     group[order] = np.repeat(heads, sizes)
     open_at = np.flatnonzero(np.repeat(sizes > 1, sizes))
     h = 8
-    while h < depth and len(open_at):
+    while len(open_at):
         at = order[open_at]
-        key = group[at] << 32 | (group[np.minimum(at + h, n)] + 1)
+        key = group[at] << 32 | (group[at + h] + 1)
         sort = np.argsort(key, kind="stable")
         at, key = at[sort], key[sort]
         order[open_at] = at
@@ -48,6 +51,8 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int, lanes: int = 4096) -> np.ndarray:
     """For each place of the order the bytes, up to cap, shared with the place before, by Kasai's method.
 
+    order must be the order of the whole suffixes: only then does what a suffix shares carry over to the next one.
+
     From one text position to the next the shared length falls by one at most, so each walk goes on where the last
     one ended. Many stretches of the text are walked at once, eight bytes a step.
     """
@@ -86,7 +91,7 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, width: int) -> np.nda
     """For each position: is it marked in starts, and do the same `width` bytes begin at another marked one too?"""
     if not len(text):
         return np.zeros(0, bool)
-    order = suffix_array(text, width)
+    order = suffix_array(text)
     classes = np.cumsum(common_prefixes(text, order, width) < width)
     marked = starts[order]
     counts = np.bincount(classes[marked], minlength=classes[-1] + 1)

@@ -5,8 +5,11 @@ each other mostly share it and form a run. Equal windows have equal anchors, so
 windows that can be equal, and whatever is cut off from its copies by nothing but distance needs no pairwise look.
 Runs whose anchor is nowhere else are done. Runs that are equal as a whole are repeated as a whole. The rest, each
 distinct run once, goes to shards by anchor: a suffix array with common prefixes finds the repeated windows of a
-shard. An anchor with very many distinct runs is spread over several shards, whose sorted windows are then merged by
-binary search.
+shard. An anchor with very many distinct runs is spread over several shards, whose windows are then merged by binary
+search.
+
+Whole runs, and windows in that merge, are compared by hashes of 64 bits within one anchor, itself a hash of 64 bits:
+among m runs of one anchor a wrong match has a chance of m * m / 2 ** 65, less than 1 in 30 for 10 ** 9 of them.
 """
 
 from __future__ import annotations
@@ -159,9 +162,10 @@ _SPANS = "doc_id long, th long, a long, b long"
 
 
 def _shard_spans(rows: list[tuple], merge: list) -> list[tuple]:
-    """(doc_id, th, a, b) for the repeated windows of distinct runs; windows of spread anchors also go to merge.
+    """(doc_id, th, a, b) for the repeated windows of distinct runs; of a spread anchor each distinct window also goes to
+    merge, once: its own place if the shard doesn't repeat it, else any.
 
-    rows: doc_id, th, anchor, salt, spread, weight, start, content.
+    rows: doc_id, th, anchor, salt, spread (shards of the anchor), weight, start, content.
     """
     import xxhash
 
@@ -173,16 +177,22 @@ def _shard_spans(rows: list[tuple], merge: list) -> list[tuple]:
     for k in range(WIDTH - 1):
         starts[ends - 1 - k] = False
     found = repeated_windows(np.frombuffer(raw, np.uint8), starts, WIDTH)
+    met: set[tuple[int, int]] = set()
     for r, offset, length in zip(rows, offsets.tolist(), lengths.tolist(), strict=True):
-        if r[4]:
-            merge += [(r[0], r[1], r[2], r[3], r[6] + i, xxhash.xxh3_64_intdigest(raw[offset + i : offset + i + WIDTH]) - (1 << 63)) for i in range(length - WIDTH + 1)]
+        if r[4] > 1:
+            for i in range(offset, offset + length - WIDTH + 1):
+                key = xxhash.xxh3_64_intdigest(raw[i : i + WIDTH]) - (1 << 63)
+                if not found[i] or (r[2], key) not in met:
+                    merge.append((r[0], r[1], r[2], r[4], r[6] + i - offset, key))
+                    if found[i]:
+                        met.add((r[2], key))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
     firsts, lasts = edges[::2], edges[1::2] - 1
     own = np.searchsorted(ends, firsts, side="right").tolist()
     return [(r[0], r[1], r[6] + a - offsets[k], r[6] + b - offsets[k]) for k, a, b in zip(own, firsts.tolist(), lasts.tolist(), strict=True) if (r := rows[k])[5] < 2]
 
 
-_SHARDED = "doc_id long, th long, a long, b long, anchor long, salt int, key long"
+_SHARDED = "doc_id long, th long, a long, b long, anchor long, spread int, key long"
 
 
 def _shards(batches):
@@ -192,7 +202,7 @@ def _shards(batches):
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         merge: list[tuple] = []
         spans = [(*s, None, None, None) for s in _shard_spans(rows, merge)]
-        spans += [(doc, th, at, at, anchor, salt, key) for doc, th, anchor, salt, at, key in merge]
+        spans += [(doc, th, at, at, anchor, spread, key) for doc, th, anchor, spread, at, key in merge]
         columns = list(zip(*spans, strict=True)) or [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -212,32 +222,47 @@ def _shards(batches):
 
 
 def _merge(pdf):
-    """Windows of one bucket of a spread anchor: each shard's sorted windows are sought in those of the others."""
-    import pandas as pd
+    """Windows of one bucket of a spread anchor, one row for each shard that has them: a key that binary search finds
+    more than once is in several shards."""
+    keys = pdf["key"].to_numpy()
+    order = np.sort(keys)
+    hit = np.searchsorted(order, keys, "right") - np.searchsorted(order, keys, "left") > 1
+    return pdf.loc[hit, ["doc_id", "th", "a", "b"]]
+
+
+#: Joins by anchor or by a run's content deal each of them over so many tasks; at most 64, the bits of a mask.
+_DEAL = 64
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("deal", F.pmod(F.xxhash64(by), F.lit(_DEAL)).cast("int"))
+
+
+def _mask():
+    """The deals that a group has, as the bits of one number, so that Spark can add them up before a shuffle."""
+    return F.bit_or(F.expr("shiftleft(1L, deal)")).alias("mask")
+
 
-    hit = np.zeros(len(pdf), bool)
-    keys, salts = pdf["key"].to_numpy(), pdf["salt"].to_numpy()
-    for salt in np.unique(salts):
-        own = salts == salt
-        rest = np.sort(keys[~own])
-        at = np.searchsorted(rest, keys[own])
-        hit[own] = (at < len(rest)) & (rest[np.minimum(at, max(0, len(rest) - 1))] == keys[own]) if len(rest) else False
-    return pd.DataFrame({c: pdf[c].to_numpy()[hit] for c in ("doc_id", "th", "a", "b")})
+def _deals(groups: DataFrame, *columns: str) -> DataFrame:
+    """One row for each deal of a group, so that a hot group's rows meet it in as many tasks as it has deals."""
+    bits = F.expr(f"filter(sequence(0, {_DEAL - 1}), d -> shiftrightunsigned(mask, d) & 1 = 1)")
+    return groups.select(*columns, F.explode(bits).alias("deal"))
 
 
 def repeated_spans(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
     """doc_id, th (hash of the text), a, b: first and last start of stretches of repeated windows, each at least once."""
     found = stored(map_texts(docs, _run_rows, _RUNS))
     inner = found.where("anchor is null").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
-    keyed = found.where("anchor is not null")
-    twice = keyed.groupBy("anchor").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor")
-    shared = stored(keyed.join(twice, "anchor", "left_semi"))
-    groups = stored(shared.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one")))
-    whole = shared.join(groups.where("weight > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
-
-    mixed = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    salts = F.ceil(F.col("n") / anchor_runs).cast("int")
-    rest = groups.join(mixed, "anchor").select("one.*", "anchor", F.pmod("content", salts).cast("int").alias("salt"), (salts > 1).alias("spread"), F.least("weight", F.lit(2)).cast("int").alias("weight"))
+    keyed = _dealt(found.where("anchor is not null"), "doc_id")
+    twice = keyed.groupBy("anchor").agg(F.sum("weight").alias("n"), _mask()).where("n > 1")
+    shared = stored(keyed.join(_deals(twice, "anchor"), ["anchor", "deal"], "left_semi"))
+    groups = stored(shared.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one"), _mask()))
+    whole = shared.join(_deals(groups.where("weight > 1"), "anchor", "content"), ["anchor", "content", "deal"], "left_semi").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
+
+    distinct = _dealt(groups.drop("mask"), "content")
+    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), _mask()).where("n > 1")
+    shards_of = F.ceil(F.col("n") / anchor_runs).cast("int")
+    rest = distinct.join(_deals(mixed, "anchor", "n"), ["anchor", "deal"]).select("one.*", "anchor", F.pmod("content", shards_of).cast("int").alias("salt"), shards_of.alias("spread"), F.least("weight", F.lit(2)).cast("int").alias("weight"))
     wanted = stored(rest.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "salt", "spread", "weight")).alias("runs")))
     texts = _travelling(docs, wanted.select("doc_id", "th")).where("text is not null").select("doc_id", "th", "text")
     texts = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.th == wanted.th)).select(texts.doc_id, texts.th, "text", F.explode("runs").alias("r"))
@@ -245,8 +270,9 @@ def repeated_spans(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame
     shards = pieces.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shards, _SHARDED)
     shards = stored(shards)
     spans = shards.where("key is null").select("doc_id", "th", "a", "b")
-    bucket = F.pmod(F.shiftright("key", 40), F.lit(64))
-    merged = shards.where("key is not null").withColumn("bucket", bucket).groupBy("anchor", "bucket").applyInPandas(_merge, _SPANS)
+    # As many buckets as the anchor's runs ask for: a bucket keeps its size however many texts share a passage.
+    bucket = F.pmod(F.shiftright("key", 16), F.lit(_DEAL) * F.col("spread"))
+    merged = shards.where("key is not null").groupBy("anchor", bucket.alias("bucket")).applyInPandas(_merge, _SPANS)
     return inner.unionByName(whole).unionByName(spans).unionByName(merged)
 
 

@@ -82,9 +82,8 @@ def test_suffix_array_and_prefixes(seed):
     rng = random.Random(seed)
     raw = "".join(rng.choices("ab", k=300) + ["abracadabra" * rng.randint(1, 30)] + ["x" * 90]).encode()
     text = np.frombuffer(raw, np.uint8)
-    order = suffix_array(text, 256)
-    expected = sorted(range(len(raw)), key=lambda i: raw[i : i + 256] + b"\0" * (256 - len(raw[i : i + 256])))
-    assert [raw[i : i + 256] for i in order] == [raw[i : i + 256] for i in expected]
+    order = suffix_array(text)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
     shared = common_prefixes(text, order, 64, lanes=7)
     for k in range(1, len(raw)):
         a, b = raw[order[k] :], raw[order[k - 1] :]
@@ -93,3 +92,33 @@ def test_suffix_array_and_prefixes(seed):
     starts = np.array([rng.random() < 0.7 and i + 30 <= len(raw) for i in range(len(raw))])
     seen = Counter(raw[i : i + 30] for i in np.flatnonzero(starts))
     assert repeated_windows(text, starts, 30).tolist() == [bool(starts[i]) and seen[raw[i : i + 30]] > 1 for i in range(len(raw))]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_windows_of_long_shared_stretches(seed):
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 4, 12, 26])]
+    base, raw = rng.choices(letters, k=rng.randint(300, 460)), b""
+    for _ in range(rng.randint(2, 8)):
+        own = list(base)
+        if rng.random() < 0.7:
+            own[rng.randrange(len(own))] = rng.choice(letters)
+        raw += ("".join(rng.choices(letters, k=rng.randint(0, 40))) + "".join(own)[rng.randint(0, 44) :]).encode()
+    raw += b"\0" * rng.choice([0, 0, 3, 20])
+    text = np.frombuffer(raw, np.uint8)
+    assert suffix_array(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    starts = np.arange(len(raw)) + W <= len(raw)
+    seen = Counter(raw[i : i + W] for i in np.flatnonzero(starts))
+    assert repeated_windows(text, starts, W).tolist() == [bool(s) and seen[raw[i : i + W]] > 1 for i, s in enumerate(starts)]
+
+
+@pytest.mark.parametrize(("letters", "limit"), [("ab", 3), ("abcd", 8000), ("abcdefghijklmnopqrstuvwxyz", 3)])
+def test_one_byte_edits_of_a_passage(spark, letters, limit):
+    rng = random.Random(len(letters))
+    base, rows = "".join(rng.choices(letters, k=340)), []
+    for i in range(150):
+        own = list(base)
+        own[rng.randrange(len(own))] = rng.choice(letters)
+        rows.append((i, "".join(rng.choices(letters, k=rng.randint(0, 60))) + "".join(own) + "".join(rng.choices(letters, k=rng.randint(0, 60)))))
+    got = {r[0]: tuple(r)[1:] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()}
+    assert [got[i] for i, _ in rows] == brute([t for _, t in rows])
