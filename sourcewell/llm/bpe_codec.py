@@ -14,6 +14,7 @@ import os
 import tempfile
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -23,48 +24,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_core import Vocabulary, vocabulary
-from .common import cut, map_texts
+from .common import cut, map_texts, slices
+from .token_counts import pre_tokens
 
 #: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
 LEXICON_WORDS = 60_000
 #: Words that a worker keeps in memory, twice: those seen since the last change of tables, and those before. About
 #: 400 bytes a word; a pipeline's workers hold other stages' tables as well, so it uses fewer than a query of its own.
 MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 100_000
+#: Different words that a task counts before it hands their counts on.
+COUNTED_WORDS = 200_000
 
 
-@lru_cache(maxsize=1)
-def splitter():
-    """The published split pattern of the vocabulary."""
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN)
-
+def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """word, n over the pre-tokens of all texts (doc_id, text): counted within a task, then summed by word."""
 
-def segments(text: str, vocab: Vocabulary) -> list[tuple[str, int]]:
-    """Text cut at special strings: (piece, -1) for ordinary text, ("", id) for a special one."""
-    parts = [(text, -1)]
-    for special, i in vocab.specials.items():
-        if special in text:
-            cut = []
-            for piece, own in parts:
-                for k, x in enumerate(piece.split(special) if own < 0 else [piece]):
-                    cut += [("", i)] * (k > 0) + [(x, own)]
-            parts = cut
-    return parts
+    def run(batches):
+        import pyarrow as pa
 
+        vocab, counts = vocabulary(tokenizer), Counter()
 
-def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """word, n over the pre-tokens of all texts (doc_id, text): counted within slices, then summed by word."""
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    def run(rows: dict[str, list]) -> dict[str, list]:
-        vocab, find, counts = vocabulary(tokenizer), splitter().findall, Counter()
-        for text in rows["text"]:
-            for piece, _ in segments(text or "", vocab):
-                counts.update(find(piece))
-        return {"word": list(counts), "n": list(counts.values())}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for _, words, _ in pre_tokens(part.column("text").to_pylist(), vocab.specials):
+                    counts.update(words)
+                if len(counts) > COUNTED_WORDS:
+                    yield rows()
+                    counts.clear()
+        yield rows()
 
-    return map_texts(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _BYTES = [bytes([b]) for b in range(256)]
@@ -195,57 +187,64 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -
 
 
 class _Words(dict):
-    """The words seen lately: their ids as decimal text, the ids, and the bytes that these decode to. The ids are from
-    the lexicon, else merged; the bytes are those of the ids, not of the word."""
+    """The ids of words seen lately; or, with listed, the ids as decimal text, and in decoded the bytes that they decode
+    to. The ids are from the lexicon, else merged; the bytes are those of the ids, not of the word."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, memo: int = MEMO_WORDS):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon, memo: int, listed: bool):
         super().__init__()
-        self.vocab, self.lexicon, self.memo = vocab, lexicon, memo
-        self.older: dict[str, tuple[str, list[int], bytes]] = {}
-
-    def decoded(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocab.tokens.__getitem__, ids))
+        self.vocab, self.lexicon, self.memo, self.listed = vocab, lexicon, memo, listed
+        self.decoded: dict[str, bytes] = {}
+        self.older: tuple[dict, dict] = ({}, {})
+        self.long: list[str] = []
 
     def age(self) -> None:
+        """Between two texts: forget long words, and with full tables those that weren't used since they filled last."""
+        for word in self.long:
+            del self[word]
+            self.decoded.pop(word, None)
+        self.long.clear()
         if len(self) > self.memo:
-            self.older = dict(self)
+            self.older = (dict(self), self.decoded)
             self.clear()
+            self.decoded = {}
 
-    def __missing__(self, word: str) -> tuple[str, list[int], bytes]:
-        found = self.older.get(word)
+    def of(self, ids: list[int]) -> tuple[str, bytes]:
+        return ",".join(map(str, ids)), b"".join(map(self.vocab.tokens.__getitem__, ids))
+
+    def __missing__(self, word: str) -> str | list[int]:
+        found = self.older[0].get(word)
         if found is None:
             raw = word.encode()
-            ids = self.lexicon.find(raw)
-            if ids is None:
-                ids = self.vocab.merge(raw)
-            found = (",".join(map(str, ids)), ids, self.decoded(ids))
-        if len(word) <= 64:
-            self[word] = found
+            found = self.lexicon.find(raw)
+            if found is None:
+                found = self.vocab.merge(raw)
+            if self.listed:
+                found, self.decoded[word] = self.of(found)
+        elif self.listed:
+            self.decoded[word] = self.older[1][word]
+        if len(word) > 64:
+            self.long.append(word)
+        self[word] = found
         return found
 
 
 @lru_cache(maxsize=2)
-def _words(tokenizer: str, lexicon: str, memo: int) -> _Words:
-    return _Words(vocabulary(tokenizer), _mapped(lexicon), memo)
-
-
-def encoded_words(text: str, words: _Words) -> list[tuple[str, list[int], bytes]]:
-    """The words of one text with their ids, special strings among them."""
-    words.age()
-    parts = segments(text, words.vocab)
-    if len(parts) == 1 and parts[0][1] < 0:
-        return list(map(words.__getitem__, splitter().findall(text)))
-    out: list[tuple[str, list[int], bytes]] = []
-    for piece, special in parts:
-        out.extend([(str(special), [special], words.decoded([special]))] if special >= 0 else map(words.__getitem__, splitter().findall(piece)))
+def _words(tokenizer: str, lexicon: str, memo: int, listed: bool) -> _Words:
+    return _Words(vocabulary(tokenizer), _mapped(lexicon), memo, listed)
+
+
+def encoded_texts(texts: list[str | None], words: _Words, each: Callable, of: Callable) -> list[list]:
+    """For each text what `each` makes of the pre-tokens of its pieces, and `of` of special strings, in order."""
+    out: list[list] = [[] for _ in texts]
+    last = -1
+    for i, found, special in pre_tokens(texts, words.vocab.specials):
+        if i != last:
+            words.age()
+            last = i
+        out[i].append(each(found) if special < 0 else of(special))
     return out
 
 
-def encode_text(text: str, words: _Words) -> list[int]:
-    """The ids of one text."""
-    return list(chain.from_iterable([ids for _, ids, _ in encoded_words(text, words)]))
-
-
 def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
     """The text of ids, special ones included; bytes that are no UTF-8 become replacement characters."""
     return b"".join(map(vocab.tokens.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -258,8 +257,9 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, memo: in
     done = _words.cache_clear if memo < MEMO_WORDS else None
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        words = _words(tokenizer, lexicon, memo)
-        return {"doc_id": rows["doc_id"], "ids": [encode_text(t or "", words) for t in rows["text"]]}
+        words = _words(tokenizer, lexicon, memo, False)
+        found = encoded_texts(rows["text"], words, lambda own: list(chain.from_iterable(map(words.__getitem__, own))), lambda i: [i])
+        return {"doc_id": rows["doc_id"], "ids": [list(chain.from_iterable(parts)) for parts in found]}
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>", done=done)
 
@@ -287,14 +287,18 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None = None) -> D
     lexicon = lexicon or build_lexicon(docs, tokenizer)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        words = _words(tokenizer, lexicon, MEMO_WORDS)
+        words = _words(tokenizer, lexicon, MEMO_WORDS, True)
         out = {"doc_id": rows["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for text in rows["text"]:
-            found = encoded_words(text or "", words)
-            listed = ",".join([x for x, _, _ in found])
+
+        def each(found: list[str]) -> tuple[str, bytes]:
+            # The first look-up makes the entries that the second one needs.
+            return ",".join(map(words.__getitem__, found)), b"".join(map(words.decoded.__getitem__, found))
+
+        for parts in encoded_texts(rows["text"], words, each, lambda i: words.of([i])):
+            listed = ",".join([x for x, _ in parts])
             out["n_tokens"].append(listed.count(",") + 1 if listed else 0)
             out["ids_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join([x for _, _, x in found]).decode("utf-8", errors="replace").encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([x for _, x in parts]).decode("utf-8", errors="replace").encode()).hexdigest())
         return out
 
     return map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ and the token before it encode to themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -176,38 +177,51 @@ def _memo(path: str) -> _Memo:
     return _Memo(CountTransducer(vocabulary(path)))
 
 
+def pre_tokens(texts: list[str | None], specials: dict[str, int]) -> Iterator[tuple[int, list[str], int]]:
+    """Place of a text, pre-tokens, and -1; or place, no pre-tokens and the id of a special string, which splits its
+    text. All texts go through the transducer at once; the pieces of a text come in order, empty ones are left out."""
+    pieces: list[tuple[int, str, int]] = []
+    for i, text in enumerate(texts):
+        parts = [(text or "", -1)]
+        for special, number in specials.items():
+            if special in parts[0][0] or len(parts) > 1:
+                parts = [x for part, own in parts for x in ([(part, own)] if own >= 0 else _cut_at(part, special, number))]
+        pieces += [(i, part, own) for part, own in parts if part]
+    plain = [part for _, part, own in pieces if own < 0]
+    if plain:
+        lengths = np.array([len(p) + 1 for p in plain])
+        ends = np.cumsum(lengths)
+        points = np.frombuffer("\n".join([*plain, ""]).encode("utf-32-le"), dtype="<u4").copy()
+        points[ends - 1] = 0x110000
+        starts = np.flatnonzero(token_starts(points))
+        firsts, lasts = np.searchsorted(starts, ends - lengths).tolist(), np.searchsorted(starts, ends - 1).tolist()
+        bases = (ends - lengths).tolist()
+    k = 0
+    for i, part, own in pieces:
+        if own >= 0:
+            yield i, [], own
+            continue
+        at = (starts[firsts[k] : lasts[k]] - bases[k]).tolist()
+        at.append(len(part))
+        yield i, [part[a:b] for a, b in zip(at, at[1:])], -1  # noqa: B905
+        k += 1
+
+
+def _cut_at(part: str, special: str, number: int) -> list[tuple[str, int]]:
+    out: list[tuple[str, int]] = []
+    for k, x in enumerate(part.split(special)):
+        out += [(special, number)] * (k > 0) + [(x, -1)]
+    return out
+
+
 def count_batch(texts: list[str | None], path: str) -> list[int]:
     """Token counts of texts; special strings inside a text count as one token and split it."""
     memo = _memo(path)
     if len(memo) > TABLE_LIMIT:
         memo.clear()
-    pieces: list[str] = []
-    owners: list[int] = []
     counts = [0] * len(texts)
-    for i, text in enumerate(texts):
-        parts = [text or ""]
-        for special in memo.transducer.vocab.specials:
-            split = [part.split(special) for part in parts]
-            counts[i] += sum(len(x) - 1 for x in split)
-            parts = [x for xs in split for x in xs]
-        for part in parts:
-            if part:
-                pieces.append(part)
-                owners.append(i)
-    if not pieces:
-        return counts
-    lengths = np.array([len(p) + 1 for p in pieces])
-    ends = np.cumsum(lengths)
-    points = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le"), dtype="<u4").copy()
-    points[ends - 1] = 0x110000
-    starts = np.flatnonzero(token_starts(points))
-    bounds = np.searchsorted(starts, ends - lengths)
-    for k, (piece, owner) in enumerate(zip(pieces, owners, strict=True)):
-        base = int(ends[k] - lengths[k])
-        last = np.searchsorted(starts, ends[k] - 1)
-        own = (starts[bounds[k] : last] - base).tolist()
-        own.append(len(piece))
-        counts[owner] += sum(map(memo.__getitem__, [piece[a:b] for a, b in zip(own, own[1:])]))  # noqa: B905
+    for i, words, special in pre_tokens(texts, memo.transducer.vocab.specials):
+        counts[i] += sum(map(memo.__getitem__, words)) if special < 0 else 1
     return counts
 
 
