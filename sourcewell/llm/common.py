@@ -92,6 +92,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A hot key's rows are dealt over so many tasks in joins; at most 64, the bits of a mask.
+DEALS = 64
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows with a deal, by the hash of a column."""
+    return rows.withColumn("deal", F.pmod(F.xxhash64(by), F.lit(DEALS)).cast("int"))
+
+
+def deal_mask():
+    """The deals that a group has, as the bits of one number, so that Spark can add them up before a shuffle."""
+    return F.bit_or(F.expr("shiftleft(1L, deal)")).alias("mask")
+
+
+def deals(groups: DataFrame, *columns: str) -> DataFrame:
+    """One row for each deal of a group, so that a hot group's rows meet it in as many tasks as it has deals."""
+    bits = F.expr(f"filter(sequence(0, {DEALS - 1}), d -> shiftrightunsigned(mask, d) & 1 = 1)")
+    return groups.select(*columns, F.explode(bits).alias("deal"))
+
+
+def dealt_join(rows: DataFrame, ones: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with ones, which has one row for each key: rows of a hot key, however many, meet it in several tasks."""
+    own = dealt(rows, by)
+    return own.join(ones.join(deals(own.groupBy(key).agg(deal_mask()), key), key), [key, "deal"]).drop("deal")
+
+
 #: Bits of a bitmap of ids: its size, 2 MB, doesn't depend on the data.
 BITMAP_BITS = 24
 

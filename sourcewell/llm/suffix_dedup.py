@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import DEALS, deal_mask, deals, dealt, map_texts, stored
 from .suffix_array import repeated_windows
 
 WIDTH = 200
@@ -230,39 +230,20 @@ def _merge(pdf):
     return pdf.loc[hit, ["doc_id", "th", "a", "b"]]
 
 
-#: Joins by anchor or by a run's content deal each of them over so many tasks; at most 64, the bits of a mask.
-_DEAL = 64
-
-
-def _dealt(rows: DataFrame, by: str) -> DataFrame:
-    return rows.withColumn("deal", F.pmod(F.xxhash64(by), F.lit(_DEAL)).cast("int"))
-
-
-def _mask():
-    """The deals that a group has, as the bits of one number, so that Spark can add them up before a shuffle."""
-    return F.bit_or(F.expr("shiftleft(1L, deal)")).alias("mask")
-
-
-def _deals(groups: DataFrame, *columns: str) -> DataFrame:
-    """One row for each deal of a group, so that a hot group's rows meet it in as many tasks as it has deals."""
-    bits = F.expr(f"filter(sequence(0, {_DEAL - 1}), d -> shiftrightunsigned(mask, d) & 1 = 1)")
-    return groups.select(*columns, F.explode(bits).alias("deal"))
-
-
 def repeated_spans(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame:
     """doc_id, th (hash of the text), a, b: first and last start of stretches of repeated windows, each at least once."""
     found = stored(map_texts(docs, _run_rows, _RUNS))
     inner = found.where("anchor is null").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
-    keyed = _dealt(found.where("anchor is not null"), "doc_id")
-    twice = keyed.groupBy("anchor").agg(F.sum("weight").alias("n"), _mask()).where("n > 1")
-    shared = stored(keyed.join(_deals(twice, "anchor"), ["anchor", "deal"], "left_semi"))
-    groups = stored(shared.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one"), _mask()))
-    whole = shared.join(_deals(groups.where("weight > 1"), "anchor", "content"), ["anchor", "content", "deal"], "left_semi").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
-
-    distinct = _dealt(groups.drop("mask"), "content")
-    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), _mask()).where("n > 1")
+    keyed = dealt(found.where("anchor is not null"), "doc_id")
+    twice = keyed.groupBy("anchor").agg(F.sum("weight").alias("n"), deal_mask()).where("n > 1")
+    shared = stored(keyed.join(deals(twice, "anchor"), ["anchor", "deal"], "left_semi"))
+    groups = stored(shared.groupBy("anchor", "content").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("one"), deal_mask()))
+    whole = shared.join(deals(groups.where("weight > 1"), "anchor", "content"), ["anchor", "content", "deal"], "left_semi").selectExpr("doc_id", "th", "start as a", "start + windows - 1 as b")
+
+    distinct = dealt(groups.drop("mask"), "content")
+    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), deal_mask()).where("n > 1")
     shards_of = F.ceil(F.col("n") / anchor_runs).cast("int")
-    rest = distinct.join(_deals(mixed, "anchor", "n"), ["anchor", "deal"]).select("one.*", "anchor", F.pmod("content", shards_of).cast("int").alias("salt"), shards_of.alias("spread"), F.least("weight", F.lit(2)).cast("int").alias("weight"))
+    rest = distinct.join(deals(mixed, "anchor", "n"), ["anchor", "deal"]).select("one.*", "anchor", F.pmod("content", shards_of).cast("int").alias("salt"), shards_of.alias("spread"), F.least("weight", F.lit(2)).cast("int").alias("weight"))
     wanted = stored(rest.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "windows", "anchor", "salt", "spread", "weight")).alias("runs")))
     texts = _travelling(docs, wanted.select("doc_id", "th")).where("text is not null").select("doc_id", "th", "text")
     texts = texts.join(wanted, (texts.doc_id.eqNullSafe(wanted.doc_id)) & (texts.th == wanted.th)).select(texts.doc_id, texts.th, "text", F.explode("runs").alias("r"))
@@ -271,7 +252,7 @@ def repeated_spans(docs: DataFrame, anchor_runs: int = ANCHOR_RUNS) -> DataFrame
     shards = stored(shards)
     spans = shards.where("key is null").select("doc_id", "th", "a", "b")
     # As many buckets as the anchor's runs ask for: a bucket keeps its size however many texts share a passage.
-    bucket = F.pmod(F.shiftright("key", 16), F.lit(_DEAL) * F.col("spread"))
+    bucket = F.pmod(F.shiftright("key", 16), F.lit(DEALS) * F.col("spread"))
     merged = shards.where("key is not null").groupBy("anchor", bucket.alias("bucket")).applyInPandas(_merge, _SPANS)
     return inner.unionByName(whole).unionByName(spans).unionByName(merged)
 
