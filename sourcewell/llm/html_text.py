@@ -3,9 +3,9 @@
 A token is an opening tag or a text block together with the path of open elements above it. Its occurrence vector
 says how often it is on each page of its host; tokens with equal vectors form an equivalence class. Vectors are never
 gathered: each is an exclusive-or of hashes of (page, count), which Spark adds up in parts, so a host may have any
-number of pages. The class of the root tag is the frame of the host's template, and the other valid classes nest in
-it by their paths. Texts in the frame's class are template; the remaining slots are data, of which those in the
-article, or else in the host's container with most unlinked text, are extracted.
+number of pages. Valid classes nest by their paths into the host's template. What is no template are the slots' data;
+the slot with most of the host's unlinked text is the article's. Names of tags and classes only tell apart what the
+template leaves open: comments or notices inside the article, or pages where no slot stands out.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import bitmap, map_texts, maybe_in, stored
 
-#: A host's constant texts are template only where it has this number of pages with different texts.
-MIN_PAGES = 8
+#: A text is template only with that many different pages of its host.
+MIN_SUPPORT = 3
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<(?:[!?/])[^>]*(?:>|\Z)""",
@@ -35,6 +35,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "nav", "aside", "footer", "header"}
+#: Elements whose place among their like siblings tells their role, as their names don't; later ones share the last.
+_PLACED, _PLACES = {"div", "section", "table", "td"}, 16
 # Elements, roles and words of class or id attributes that mark what is not the article.
 _APART = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "fieldset"} | _RAW
 _APART_ROLES = {"navigation", "banner", "contentinfo", "search", "complementary", "dialog", "alert", "menu", "form"}
@@ -52,7 +54,7 @@ class _Open:
         self.tag, self.path, self.apart, self.level, self.linked = tag, path, apart, level, linked
 
 
-def _element(tag: str, attributes: str, above: _Open) -> _Open:
+def _element(tag: str, attributes: str, above: _Open, place: int) -> _Open:
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
     words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
@@ -60,22 +62,23 @@ def _element(tag: str, attributes: str, above: _Open) -> _Open:
     apart = above.apart or tag in _APART or role in _APART_ROLES or "hidden" in found or tag == "header" and not above.level
     if tag not in ("html", "body", "main") and words & _APART_WORDS:
         apart = apart or bool(words & _APART_WORDS - ({"header", "banner"} if above.level else set()))
-    path = f"{above.path}>{tag}" + "".join(f".{w}" for w in sorted(words)[:4])
+    path = f"{above.path}>{tag}" + "".join(f".{w}" for w in sorted(words)[:4]) + (f"#{place}" if place > 1 else "")
     return _Open(tag, path if len(path) < 400 else f"#{xxhash.xxh64_hexdigest(path)}", apart, level, above.linked or tag == "a")
 
 
 _ROOT = _Open("", "", False, 0, False)
-#: Elements opened lately, by the element above, tag and attributes.
-_known: dict[tuple[_Open, str, str], _Open] = {}
+#: Elements opened lately, by the element above, tag, attributes and place among like siblings.
+_known: dict[tuple[_Open, str, str, int], _Open] = {}
 
 
 def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
-    """Paths of the opening tags with their counts, and the text blocks in order: text, path, whether it stands apart
+    """Paths and levels of the opening tags with their counts, and the text blocks in order: text, path, whether it stands apart
     from any article, article level (2 article, 1 main part, 0 neither), and characters outside links.
 
     One pass over the page; broken, unclosed and cut-off markup is read as browsers do, roughly.
     """
     stack = [_ROOT]
+    placed: list[dict] = [{}]  # of each open element, how many children of a kind it had
     opened: Counter = Counter()
     tags: Counter = Counter()
     blocks: list[tuple[str, str, bool, int, int]] = []
@@ -96,7 +99,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
             if stack[k].tag in names:
                 for x in stack[k:]:
                     opened[x.tag] -= 1
-                del stack[k:]
+                del stack[k:], placed[k:]
                 return
             if stack[k].tag in barrier:
                 return
@@ -150,16 +153,19 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
             pop_to(_IMPLIED[tag], {"ul", "ol", "dl", "table"})
         if attributes and not _MARKING.search(attributes):
             attributes = "/" if attributes.endswith("/") else ""
-        key = (stack[-1], tag, attributes)
+        place = 0
+        if tag in _PLACED:
+            place = placed[-1][tag, attributes] = min(placed[-1].get((tag, attributes), 0) + 1, _PLACES)
+        key = (stack[-1], tag, attributes, place)
         new = _known.get(key)
         if new is None:
             if len(_known) > 50_000:
                 _known.clear()
-            new = _known[key] = _element(tag, attributes, stack[-1])
+            new = _known[key] = _element(tag, attributes, stack[-1], place)
         if inline and new.apart != stack[-1].apart:
             flush()
         if not inline:
-            tags[new.path] += 1
+            tags[new.path, new.level] += 1
         if tag in _RAW and not attributes.endswith("/"):
             end = _RAW_END.search(page, at)
             while end and end[1].lower() != tag:
@@ -167,6 +173,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
             at = end.end() if end else n
         elif tag not in _VOID and not attributes.endswith("/"):
             stack.append(new)
+            placed.append({})
             opened[tag] += 1
     flush()
     return tags, blocks
@@ -178,74 +185,106 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _number(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-_BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,token:long,apart:boolean,level:int,path:string>>"
-_TOKENS = "host string, token long, root boolean, page long, n int, content long, path string, unlinked long"
+_PARSED = (
+    "page_id long, url string, host string, tags array<struct<path:string,n:int,level:int>>, "
+    "blocks array<struct<text:string,path:string,apart:boolean,level:int,n:int,free:int>>"
+)
 
 
-def _blocks(rows: dict[str, list]) -> dict[str, list]:
-    out: dict[str, list] = {"page_id": rows["page_id"], "url": rows["url"], "host": [host_of(u) for u in rows["url"]], "blocks": []}
+def _parsed(rows: dict[str, list]) -> dict[str, list]:
+    """Tags and blocks of each page; n, how often a block is on its page, and the characters outside links of all its
+    occurrences are told at its first one."""
+    out: dict[str, list] = {"page_id": rows["page_id"], "url": rows["url"], "host": [host_of(u) for u in rows["url"]], "tags": [], "blocks": []}
     for page in rows["html"]:
-        blocks = parse(page or "")[1]
-        level = max((b[3] for b in blocks if not b[2]), default=0)
-        out["blocks"].append([{"text": t, "token": _number(f"{path}\n{t}"), "apart": apart, "level": own, "path": None if level else path} for t, path, apart, own, _ in blocks if not apart and own == level])
+        tags, blocks = parse(page or "")
+        counts, free = Counter((path, text) for text, path, *_ in blocks), Counter()
+        for text, path, _, _, own in blocks:
+            free[path, text] += own
+        out["tags"].append([{"path": path, "n": n, "level": level} for (path, level), n in tags.items()])
+        found = []
+        for text, path, apart, level, _ in blocks:
+            n = counts.pop((path, text), 0)
+            found.append({"text": text, "path": path, "apart": apart, "level": level, "n": n, "free": free[path, text] if n else 0})
+        out["blocks"].append(found)
     return out
 
 
-def _tokens(rows: dict[str, list]) -> dict[str, list]:
-    """Tokens of each page, once with its count; what stands apart is never extracted and needs no text tokens."""
-    out: dict[str, list] = {k.split()[0]: [] for k in _TOKENS.split(", ")}
-    for page, page_id, url in zip(rows["html"], rows["page_id"], rows["url"], strict=True):
-        tags, blocks = parse(page or "")
-        host = host_of(url)
-        counts = Counter({_number(path): k for path, k in tags.items()})
-        inner = [b for b in blocks if not b[2]]
-        counts.update(_number(f"{path}\n{t}") for t, path, *_ in inner)
-        content = _number("\n".join(b[0] for b in inner))
-        number = _number(f"{page_id}\n{url}")
-        volumes: Counter = Counter()
-        if not any(b[3] for b in inner):
-            for _, path, _, _, free in inner:
-                volumes[path.rpartition(">")[0]] += free
-        # The root of a page is the page itself, so that pages without an html tag count too.
-        for token, root, k, path, free in [(0, True, 1, None, 0), *((t, False, k, None, 0) for t, k in counts.items()), *((0, False, 0, p, v) for p, v in volumes.items())]:
-            for name, value in (("host", host), ("token", token), ("root", root), ("page", number), ("n", k), ("content", content), ("path", path), ("unlinked", free)):
-                out[name].append(value)
-    return out
+def _token():
+    return F.xxhash64("path", "text")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (those whose occurrence vector equals the frame's: once on every page) and container (path with
-    most unlinked text on pages without an article), from pages (page_id, url, html)."""
-    tokens = map_texts(pages.select("page_id", "url", "html"), _tokens, _TOKENS, "html")
-    vector = F.bit_xor(F.xxhash64("page", "n"))
-    classes = tokens.groupBy("host", "token", "root", "path").agg(
-        F.count(F.lit(1)).alias("pages"), vector.alias("vector"), F.approx_count_distinct("content").alias("contents"), F.sum("unlinked").alias("unlinked")
-    )
-    frame = classes.where("root").select("host", F.col("vector").alias("frame"), F.col("pages").alias("all_pages"), F.col("contents").alias("all_contents"))
-    # A text on fewer pages than MIN_PAGES is in no frame's class; leaving it out here keeps a host's rows few.
-    found = classes.where(F.col("root") | F.col("path").isNotNull() | (F.col("pages") >= MIN_PAGES)).join(frame, "host")
-    template = ~F.col("root") & F.col("path").isNull() & (F.col("vector") == F.col("frame")) & (F.col("pages") == F.col("all_pages")) & (F.col("all_contents") >= MIN_PAGES)
-    return found.groupBy("host").agg(
-        F.collect_list(F.when(template, F.col("token"))).alias("tokens"),
-        F.max_by("path", F.when(F.col("path").isNotNull(), F.struct("unlinked", "path"))).alias("container"),
-    )
+def _contents(parsed: DataFrame) -> DataFrame:
+    """parsed without the pages whose host has a page of equal texts and tags already."""
+    named = parsed.select(F.col("row").alias("doc_id"), "host", F.xxhash64("tags.path", "blocks.text").alias("content"))
+    first = named.groupBy("host", "content").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    gone = stored(named.join(first, ["host", "content"]).where("doc_id != first").select("doc_id"))
+    rows, bits = parsed.withColumnRenamed("row", "doc_id"), bitmap(gone)
+    return maybe_in(rows, gone, bits, False).unionByName(maybe_in(rows, gone, bits).join(gone, "doc_id", "left_anti").select(*rows.columns))
+
+
+def classes(parsed: DataFrame) -> DataFrame:
+    """host, path, token (null for tags), pages, total (occurrences), level, free, all_pages and template of each token
+    of parsed pages.
+
+    Tokens of equal occurrence vectors are one class. It is valid with MIN_SUPPORT pages at least, if it has a tag, so
+    that markup comes and goes with its texts, or if it is on half of its host's pages. Texts of valid classes are
+    template; so are tags on half of the pages, if the element that they stand in is, which nests the classes.
+    """
+    pages = _contents(parsed)
+    root = pages.select("host", F.lit("").alias("path"), F.lit(None).cast("long").alias("token"), F.col("doc_id").alias("page"), F.lit(1).alias("n"), F.lit(0).alias("level"), F.lit(0).alias("free"))
+    tags = pages.select("host", F.explode("tags").alias("t"), "doc_id").select("host", "t.path", F.lit(None).cast("long").alias("token"), F.col("doc_id").alias("page"), "t.n", "t.level", F.lit(0).alias("free"))
+    texts = pages.select("host", F.explode("blocks").alias("b"), "doc_id").where("b.n > 0").select("host", "b.*", "doc_id").select("host", "path", _token().alias("token"), F.col("doc_id").alias("page"), "n", "level", "free")
+    tokens = root.unionByName(tags).unionByName(texts).groupBy("host", "path", "token").agg(
+        F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("n").alias("total"), F.max("level").alias("level"), F.sum("free").alias("free")
+    )
+    tokens = stored(tokens)
+    all_pages = tokens.where("path = '' and token is null").select("host", F.col("pages").alias("all_pages"))
+    several = tokens.where(F.col("pages") >= MIN_SUPPORT).groupBy("host", "vector", "pages").agg(F.bool_or(F.col("token").isNull()).alias("marked"))
+    joined = tokens.join(several, ["host", "vector", "pages"], "left").join(all_pages, "host")
+    half = F.col("pages") * 2 >= F.col("all_pages")
+    template = F.when(F.col("token").isNull(), half).otherwise(F.col("marked").isNotNull() & (F.col("marked") | (F.col("pages") * 2 > F.col("all_pages"))))
+    return joined.select("host", "path", "token", "pages", "total", "level", "free", "all_pages", template.alias("template"))
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, tokens (hashes of template texts) and container: the path of the element that holds the article.
+
+    The container is the innermost element of the template that is there once, has other elements in it and holds
+    more than half of the host's unlinked text outside the template; or the article element around that one.
+    """
+    found = stored(classes(parsed))
+    texts = found.where(F.col("token").isNotNull() & F.col("template")).groupBy("host").agg(F.collect_list("token").alias("tokens"))
+    parts = F.split("path", ">")
+    above = F.expr("transform(sequence(1, size(parts)), i -> array_join(slice(parts, 1, i), '>'))")
+    data = found.where(F.col("token").isNotNull() & ~F.col("template")).groupBy("host", "path").agg(F.sum("free").alias("free"))
+    held = data.withColumn("parts", parts).select("host", F.explode(above).alias("path"), "free").groupBy("host", "path").agg(F.sum("free").alias("held"))
+    tags = found.where(F.col("token").isNull()).select("host", "path", "level", (F.col("template") & (F.col("total") == F.col("pages"))).alias("once"), F.size(parts).alias("depth"))
+    holders = tags.where("depth > 1").select("host", F.expr("array_join(slice(split(path, '>'), 1, depth - 1), '>')").alias("path")).distinct()
+    elements = stored(tags.where("once").join(held, ["host", "path"]).join(holders, ["host", "path"], "left_semi"))
+    whole = elements.where("path = ''").select("host", F.col("held").alias("whole"))
+    inner = elements.join(whole, "host").where(F.col("held") * 2 > F.col("whole")).groupBy("host").agg(F.max_by("path", F.struct("depth", "path")).alias("inner"))
+    # Elements of one host are few: those of its template.
+    around = elements.where(F.col("level") == 2).join(inner, "host").where("inner = path or startswith(inner, concat(path, '>'))").groupBy("host").agg(F.min_by("path", "depth").alias("article"))
+    container = inner.join(around, "host", "left").select("host", F.coalesce("article", "inner").alias("container"))
+    return stored(container.join(texts, "host", "full"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    A null, empty or text-free page gives an empty text; a null address belongs to no host but is extracted all the
-    same. Pages repeated on a host count as one content, so they don't turn their article into template. Pages of any
-    length are read whole; other columns are not read; an empty table gives no rows.
+    Of a page's blocks those of the template go, and what stands outside the container. Tags, roles and class words
+    decide where that leaves a choice: blocks marked as standing apart go, and blocks of an article stay before others.
+    A page with nothing in the container is judged by the marks alone. A null, empty or text-free page gives an empty
+    text; a null address belongs to the host of pages without one. Pages repeated on a host count as one content, so
+    they don't turn their article into template. Pages of any length are read whole; other columns are not read; an
+    empty table gives no rows.
     """
-    pages = pages.select("page_id", "url", "html")
-    blocks = map_texts(pages, _blocks, _BLOCKS, "html")
-    kept = F.expr("""filter(blocks, b -> (tokens is null or not array_contains(tokens, b.token)) and (b.path is null or container is null or b.path = container or startswith(b.path, concat(container, '>'))))""")
-    own = F.expr("filter(blocks, b -> tokens is null or not array_contains(tokens, b.token))")
-    text = F.array_join(F.transform(F.when(F.size(kept) > 0, kept).otherwise(own), lambda b: b["text"]), "\n")
-    # The written table lets Spark broadcast it if it is small, or split a large host's pages in the join.
-    return blocks.join(stored(templates(pages)), "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stored(map_texts(pages.select("page_id", "url", "html"), _parsed, _PARSED, "html").withColumn("row", F.monotonically_increasing_id()))
+    rows = parsed.join(templates(parsed), "host", "left")
+    data = F.filter("blocks", lambda b: ~b["apart"] & (F.col("tokens").isNull() | ~F.array_contains("tokens", F.xxhash64(b["path"], b["text"]))))
+    rows = rows.select("page_id", "url", "container", data.alias("data"))
+    inside = F.filter("data", lambda b: F.col("container").isNull() | (b["path"] == F.col("container")) | b["path"].startswith(F.concat("container", F.lit(">"))))
+    rows = rows.withColumn("inside", inside).withColumn("kept", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("data")))
+    best = F.array_max("kept.level")
+    text = F.array_join(F.transform(F.filter("kept", lambda b: b["level"] == best), lambda b: b["text"]), "\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import pytest
 
 from sourcewell.llm.html_text import extract, host_of, parse
 
@@ -38,6 +41,64 @@ def test_container_of_pages_without_an_article(spark):
         assert got[i].text == "\n".join(b[0] for b in parse(html)[1] if "story" in b[1])
 
 
+def neutral(rng, i, kind):
+    """A page of neutral tags: two divs of boilerplate, a div of text, a div below; texts of the first differ."""
+    word = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=n)) + f" {rng.random()}"
+    body = [word(rng.randint(8, 40)) for _ in range(rng.randint(2, 5))]
+    body[1:1] = ["A line of the house"] if kind != "rare" or i % 9 == 0 else []
+    below = "<div><b>Our partners</b></div><div><b>Our partners</b></div>" if i % 2 else "<ul><li>Monday list</ul>"
+    if kind == "rare" and i == 5:
+        below = ""
+    page = f"<html><body><div>{word(3)}</div><div>Welcome to the house</div><div>" + "".join(f"<p>{x}</p>" for x in body) + f"<div>{below}</div></div><div>{word(4)}</div></body></html>"
+    return page, "\n".join(x for x in body if kind == "rare" or x != "A line of the house")
+
+
+@pytest.mark.parametrize("kind", ["common", "rare"])
+def test_boilerplate_without_names_goes_by_deduction(spark, kind):
+    """Nothing but occurrence vectors can tell: twice on every second page, on one kind of page, missing on a page."""
+    rng = random.Random(kind)
+    pages = [neutral(rng, i, kind) for i in range(20)]
+    rows = [(i, f"http://plain.example.net/{i}", html, "", 0) for i, (html, _) in enumerate(pages)]
+    rows += [(100 + k, "http://plain.example.net/copy", pages[3][0], "", 0) for k in range(30)]  # copies are one content
+    got = frame(spark, rows)
+    assert [got[i].text for i in range(20)] == [text for _, text in pages]
+    assert got[100].text == pages[3][1]
+
+
+def brute_classes(parsed):
+    """Occurrence vectors written out, by token, for the pages of one host with different contents."""
+    seen, vectors = [], {}
+    for tags, blocks in parsed:
+        content = (sorted(tags), [b[:2] for b in blocks])
+        if content not in seen:
+            seen.append(content)
+            for token in [(p, None) for p, _ in tags] + [(b[1], b[0]) for b in blocks]:
+                vectors.setdefault(token, Counter())[len(seen)] = tags[next(k for k in tags if k[0] == token[0])] if token[1] is None else sum((b[1], b[0]) == token for b in blocks)
+    classes = {}
+    for token, vector in vectors.items():
+        classes.setdefault(tuple(sorted(vector.items())), set()).add(token)
+    return vectors, classes, len(seen)
+
+
+def test_classes_equal_vectors_written_out(spark):
+    from sourcewell.llm import html_text as h
+    from sourcewell.llm.common import map_texts, stored
+
+    rng = random.Random(8)
+    pages = [neutral(rng, i, "rare")[0] for i in range(14)] + [FRAME.format(i=i % 4, body="<p>x</p>" * (i % 3)) for i in range(9)]
+    vectors, classes, n = brute_classes([parse(p) for p in pages])
+    expected = set()
+    for vector, tokens in classes.items():
+        marked = any(t is None for _, t in tokens)
+        expected |= {(p, t) for p, t in tokens if t is not None and len(vector) >= 3 and (marked or 2 * len(vector) > n)}
+    df = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    parsed = stored(map_texts(df, h._parsed, h._PARSED, "html").selectExpr("*", "monotonically_increasing_id() as row"))
+    found = h.classes(parsed).where("token is not null and template")
+    texts = parsed.selectExpr("explode(blocks) as b").selectExpr("b.path", "b.text", "xxhash64(b.path, b.text) as token").distinct()
+    assert {(r.path, r.text) for r in found.join(texts, ["path", "token"]).collect()} == expected
+    assert len(expected) > 3
+
+
 def test_hosts():
     assert [host_of(u) for u in ("https://A.b:8/x", "//c.d?x", None, "nothing", "ftp://u@e.f#g")] == ["a.b", "c.d", "", "", "e.f"]
 
