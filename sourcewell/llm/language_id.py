@@ -139,5 +139,6 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_m
         for batch in batches:
             keep = [not classify(t, own, min_margin)[3] for part in slices(batch, "text") for t in part.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _compressors.cache_clear()  # workers are used for later stages
 
     return docs.mapInArrow(run, docs.schema)
