@@ -412,9 +412,16 @@ def fallback_gate(spark, sf):
     return coverage.fallback_rows(s.where("source_id % 7 = source_id % 2"), s.where("source_id % 3 = 1"), 12).select("run_id", "source_id")
 
 
-def _texts(spark, sf, most=6000):
-    """Sources with the text that decisions are mined from; the surveyed feature takes 6,000 characters of a transcript."""
-    return decorated(spark, sf).withColumn("text", F.concat_ws(" ", "title", F.substring("transcript", 1, most)))
+_ZH = "case source_id % 4 when 0 then '降噪很好，音质清晰' when 1 then '佩戴舒适 音质一般' when 2 then '音质优秀。降噪弱' else '续航' end"
+
+
+def _texts(spark, sf):
+    """Sources with the text that decisions are mined from: title, up to 6,000 characters of the transcript as in the
+    surveyed feature, and a Chinese remark."""
+    return decorated(spark, sf).withColumn("text", F.concat_ws(" ", "title", F.substring("transcript", 1, 6000), F.expr(_ZH)))
+
+
+_TEXTS = f"{v.DECORATED}, x as (select *, concat_ws(' ', title, substr(transcript, 1, 6000), {_ZH}) as txt from deco)"
 
 
 @query()
@@ -423,48 +430,92 @@ def candidates(spark, sf):
     return decision.candidates(s, decision.candidate_mentions(s))
 
 
-_DECISION_STOP = ", ".join("'" + w + "'" for w in sorted({*decision.k.DECISION_STOP_WORDS, *decision.k.DECISION_POSITIVE_WORDS, *decision.k.DECISION_NEGATIVE_WORDS}))
-_DIMS = f"""{v.SRC}, x as (select run_id, source_id, coalesce(title, '') || ' ' || substr(transcript, 1, 600) as txt from src where transcript is not null), w as (select *, regexp_extract_all(lower(txt), '[a-z][a-z0-9+\\-]*') as ws from x),
-d as (select distinct run_id, source_id, txt, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) as term from w),
-c as (select *, greatest((length(lower(txt)) - length(replace(lower(txt), term, ''))) // length(term), (length(lower(replace(txt, ' ', ''))) - length(replace(lower(replace(txt, ' ', '')), replace(term, ' ', ''), ''))) // length(replace(term, ' ', ''))) as occ from d
-  where length(term) >= 2 and term not in ({_DECISION_STOP})),
-a as (select run_id, term, count(*) as n_sources, sum(occ) as occ from c group by 1, 2 having count(*) >= 2),
-dims as (select run_id, term, n_sources, cast(n_sources * 20 + least(occ, 12) as bigint) as score, row_number() over (partition by run_id order by n_sources * 20 + least(occ, 12) desc, length(term) desc, term) as rank from a qualify rank <= 6)"""
+def _named(spark, sf):
+    """A table of mentions that needs no cleaning: the first Latin word of each title."""
+    name = F.regexp_extract("title", "[A-Za-z]+", 0)
+    return v.src(spark, sf).select("run_id", "source_id", name.alias("name"), F.lower(name).alias("key")).where("name != ''")
+
+
+_OCC = "greatest(len(lower(txt)) - len(replace(lower(txt), {0}, ''))) // len({0}), (len(replace(lower(txt), ' ', '')) - len(replace(replace(lower(txt), ' ', ''), replace({0}, ' ', ''), ''))) // greatest(1, len(replace({0}, ' ', ''))))".replace("greatest(len(lower", "greatest((len(lower")
+_CHOSEN = f"""{_TEXTS}, named as (select run_id, source_id, regexp_extract(title, '[A-Za-z]+') as name, lower(regexp_extract(title, '[A-Za-z]+')) as key from src where regexp_extract(title, '[A-Za-z]+') <> ''),
+cs as (select m.run_id, m.key, m.name, m.source_id, greatest(1, {_OCC.format('m.key')}) + greatest(1, evidence_score // 20) as s from named m join x using (run_id, source_id)),
+ca as (select run_id, key, arg_min(name, source_id) as name, count(distinct source_id) as n_sources, cast(sum(s) as bigint) as score from cs group by 1, 2),
+chosen as (select *, row_number() over (partition by run_id order by n_sources desc, score desc, name desc) as rank from ca qualify rank <= 5)"""
 
 
-def _no_names(spark):
-    return spark.createDataFrame([], "run_id long, key string")
+@query(f"with {_CHOSEN} select run_id, key, name, n_sources, score, rank from chosen")
+def candidate_scores(spark, sf):
+    return decision.candidates(_texts(spark, sf), _named(spark, sf))
+
+
+_NEED = "the und sound of the day 降噪"
+_DECISION_STOP = ", ".join("'" + w + "'" for w in sorted({*decision.k.DECISION_STOP_WORDS, *decision.k.DECISION_POSITIVE_WORDS, *decision.k.DECISION_NEGATIVE_WORDS}))
+_COMPACT = r"regexp_replace(term, '[\s_\-]+', '', 'g')"
+_DIMS = rf"""{_CHOSEN}, w as (select *, regexp_extract_all(lower(txt), '[a-z][a-z0-9+\-]*') as ws, regexp_extract_all(txt, '[一-鿿]{{2,}}') as rs from x),
+d as (select distinct run_id, source_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), flatten(list_transform(rs, lambda r: list_transform(range(1, len(r)), lambda i: substr(r, i, 2)))), flatten(list_transform(rs, lambda r: list_transform(range(1, len(r) - 1), lambda i: substr(r, i, 3)))))) as term from w),
+n as (select run_id, term, count(*) as n_sources from d where length(term) >= 2 and term not in ({_DECISION_STOP}) and not regexp_matches(term, '^\d+[a-z]*$') and not regexp_matches(term, '({decision.TAIL_WORDS})$') group by 1, 2 having count(*) >= 2),
+kept as (select * from n where not exists (select 1 from chosen c where c.run_id = n.run_id and (contains(c.key, term) or contains(term, c.key) or contains(c.key, {_COMPACT}) or contains({_COMPACT}, c.key)))),
+nth as (select run_id, min(n_sources) as least from (select run_id, n_sources from kept qualify row_number() over (partition by run_id order by n_sources desc) <= 6) group by 1),
+near as (select kept.* from kept join nth using (run_id) where n_sources >= least - 1), oc as (select near.run_id, term, sum({_OCC.format('term')}) as occ from near join x using (run_id) group by 1, 2),
+sd as (select run_id, term, n_sources, cast(n_sources * 20 + least(occ, 12) + case when contains('{_NEED}', term) then 12 else 0 end as bigint) as score from near join oc using (run_id, term)),
+dims as (select *, row_number() over (partition by run_id order by score desc, length(term) desc, term) as rank from sd qualify rank <= 6)"""
+
+
+def _dimensions(spark, sf):
+    s = _texts(spark, sf)
+    chosen = decision.candidates(s, _named(spark, sf))
+    return s, chosen, decision.dimensions(s, chosen, _NEED)
 
 
 @query(f"with {_DIMS} select run_id, term, n_sources, score, rank from dims")
 def dimensions(spark, sf):
-    return decision.dimensions(_texts(spark, sf, 600), _no_names(spark)).select("run_id", "term", "n_sources", F.col("score").cast("long").alias("score"), "rank")
+    return _dimensions(spark, sf)[2].select("run_id", "term", "n_sources", F.col("score").cast("long").alias("score"), "rank")
 
 
-@query()
+_HOLDS = _any("lower(sn)", v.POSITIVE), _any("lower(sn)", v.RISK)
+_CONFLICTS = rf"""{_DIMS}, ss as (select run_id, source_id, lower(txt) as low, string_split_regex(regexp_replace(txt, '([。！？.!?])\s*', '\1' || chr(10), 'g'), '[\n\r]+') as sents from x),
+sn as (select ss.run_id, term, list_filter(sents, lambda s: contains(lower(s), term))[1] as sn from ss join dims on dims.run_id = ss.run_id and contains(ss.low, term)),
+conflicts as (select run_id, term, coalesce(bool_or({_HOLDS[0]}), false) as positive, coalesce(bool_or({_HOLDS[1]}), false) as negative from sn group by 1, 2)"""
+
+
+@query(f"with {_CONFLICTS} select *, positive and negative as contradictory from conflicts")
 def contradictions(spark, sf):
-    s = _texts(spark, sf)
-    return decision.contradictions(s, decision.dimensions(s, _no_names(spark)), v.POSITIVE, v.RISK)
+    s, _, terms = _dimensions(spark, sf)
+    return decision.contradictions(s, terms, v.POSITIVE, v.RISK)
 
 
 def _matrix(spark, sf):
-    s = _texts(spark, sf)
-    m = decision.candidate_mentions(s)
-    chosen = decision.candidates(s, m)
-    terms = decision.dimensions(s, chosen)
-    return chosen, decision.dimension_matrix(s, m, chosen, terms, decision.contradictions(s, terms, v.POSITIVE, v.RISK))
+    s, chosen, terms = _dimensions(spark, sf)
+    return chosen, decision.dimension_matrix(s, _named(spark, sf), chosen, terms, decision.contradictions(s, terms, v.POSITIVE, v.RISK))
 
 
-@query()
+_MATRIX = f"""{_CONFLICTS}, own as (select distinct m.run_id, m.key, m.source_id, lower(txt) as low from named m join chosen c on c.run_id = m.run_id and c.key = m.key join x on x.run_id = m.run_id and x.source_id = m.source_id),
+held as (select own.run_id, key, term, count(*) as held from own join dims on dims.run_id = own.run_id and contains(low, term) group by 1, 2, 3),
+cells as (select c.run_id, c.key, t.term, greatest(1, coalesce(held, 0)) as n, coalesce(positive and negative, false) as conflict from chosen c join dims t on t.run_id = c.run_id left join held h on h.run_id = c.run_id and h.key = c.key and h.term = t.term left join conflicts f on f.run_id = c.run_id and f.term = t.term),
+matrix as (select run_id, key, term, n, case when n >= 3 and not conflict then 'green' when conflict or n >= 2 then 'yellow' else 'gray' end as confidence from cells)"""
+
+
+@query(f"with {_MATRIX} select * from matrix")
 def dimension_matrix(spark, sf):
     return _matrix(spark, sf)[1]
 
 
-@query()
+_SCORED = f"""{_MATRIX}, pts as (select run_id, key, sum(case confidence when 'green' then 4 when 'yellow' then 2 else 1 end) as points, cast(greatest(1, least(5, round_even(avg(case confidence when 'green' then 5 when 'yellow' then 3 else 2 end), 0))) as integer) as support, count(*) as n_dimensions from matrix group by 1, 2)"""
+
+
+@query(
+    f"""with {_SCORED}, tot as (select c.run_id, c.key, cast(n_sources * 3 + coalesce(points, 0) as bigint) as total, coalesce(support, 3) as support, rank from chosen c left join pts using (run_id, key)),
+pl as (select *, row_number() over (partition by run_id order by total desc, rank) as place, count(*) over (partition by run_id) as n from tot) select run_id, key, total, support, place, case when place = 1 then 'primary' when place = 2 then 'backup' when place = n and n > 2 then 'caution' else '' end as pick from pl"""
+)
 def recommendation(spark, sf):
     return decision.recommendation(*_matrix(spark, sf))
 
 
+@query(f"with {_SCORED} select c.run_id, c.key, c.name, coalesce(support, 3) as support, cast(least(5, 1 + n_sources) as integer) as confidence, coalesce(n_dimensions, 0) as n_dimensions from chosen c left join pts using (run_id, key)")
+def matrix_rows(spark, sf):
+    return decision.matrix_rows(*_matrix(spark, sf))
+
+
 def _blocks(spark, sf):
     """Report blocks of each run, built by the operators from the views."""
     s = decorated(spark, sf)
