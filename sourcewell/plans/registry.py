@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import research, tables
+from . import drafts, research, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return research.QUERIES | tables.QUERIES
+    return research.QUERIES | tables.QUERIES | drafts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return research.SQL | tables.SQL
+    return research.SQL | tables.SQL | drafts.SQL
