@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_core import Vocabulary, vocabulary
-from .common import cut, map_texts, slices
+from .common import cut, map_texts, releasing, slices
 from .token_counts import pre_tokens
 
 #: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
@@ -56,7 +56,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                     counts.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(releasing(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _BYTES = [bytes([b]) for b in range(256)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, releasing
 
 WINDOW = 8
 #: Share of an item's windows that an occurrence must match; those over an edit count if matches meet around it.
@@ -32,7 +32,7 @@ MAX_DRIFT = 0.25
 MIN_LITERAL = 0.5
 #: Bits of the bitmap of benchmark windows: its size, 2 MB, doesn't depend on the data.
 BITMAP_BITS = 24
-VOCABULARY_LIMIT = 250_000
+VOCABULARY_LIMIT = 150_000
 
 UNITS = set(
     "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons "
@@ -251,4 +251,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
             rows = [(r["doc_id"], r["item_id"], *best) for r in batch.to_pylist() if (best := occurrence(r["hits"], r["width"], r["total"], r["words"], min_coverage))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])
 
-    return hits.mapInArrow(judge, "doc_id long, item_id long, coverage double, verbatim boolean")
+    return hits.mapInArrow(releasing(judge), "doc_id long, item_id long, coverage double, verbatim boolean")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import learns, map_texts, slices
+from .common import learns, map_texts, releasing, slices
 
 #: Bounds of the labelled sample: documents per language (by a hash of the id), characters taken from each of them,
 #: bytes of a dictionary, and languages (those with most documents).
@@ -139,6 +139,5 @@ def keep_identified(docs: DataFrame, model: tuple[tuple[str, bytes], ...], min_m
         for batch in batches:
             keep = [not classify(t, own, min_margin)[3] for part in slices(batch, "text") for t in part.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
-        _compressors.cache_clear()  # workers are used for later stages
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run, _compressors.cache_clear), docs.schema)  # workers are used for later stages
