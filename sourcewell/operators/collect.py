@@ -51,10 +51,9 @@ def merge_batches(batches: list[DataFrame], cap: int = k.BUDGET["sources"]) -> D
 
 def overlay_sources(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Streamed source rows merged by key: of each column the latest value that isn't null."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     columns = [c for c in updates.columns if c not in (*keys, order)]
-    merged = updates.select(*keys, order, *(F.last(c, True).over(w).alias(c) for c in columns))
-    return first_by(merged, keys, [F.col(order).desc()])
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
+    return updates.groupBy(*keys).agg(F.max(order).alias(order), *latest).select(*updates.columns)
 
 
 def channels(df_has: dict[str, Column] | None = None) -> Column:

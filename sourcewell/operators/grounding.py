@@ -11,26 +11,31 @@ from ..functions import text as t
 from .collect import first_by, top_by
 
 MIN_OVERLAP = 0.3
+#: Moments and units meet by spans of so many milliseconds.
+SPAN_MS = 60_000
 
 
-def claim_overlap(claims: DataFrame, units: DataFrame, threshold: float = MIN_OVERLAP, term_sets: tuple[Column, Column] | None = None) -> DataFrame:
-    """claim_id, unit_id, shared, overlap, agrees: pairs whose units hold at least that share of the claim's terms.
+def claim_overlap(claims: DataFrame, units: DataFrame, threshold: float = MIN_OVERLAP, term_sets: tuple[Column, Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """claim_id, unit_id, shared, overlap, agrees: pairs whose units hold at least that share of the claim's terms; with
+    `by`, columns of both tables, only pairs that are equal in them.
 
     An exact prefix filter: a claim of n terms that shares k = ceil(threshold * n) with a unit has one of its
     n - k + 1 rarest terms in it. Only those are joined, then the true share is computed for the pairs that are left.
     """
     mine, theirs = term_sets or (t.terms("claim_text"), t.terms("text"))
-    c = claims.select("claim_id", mine.alias("terms"), t.has_negation("claim_text").alias("negative")).where(F.size("terms") > 0)
-    u = units.select("unit_id", theirs.alias("unit_terms"), t.has_negation("text").alias("unit_negative"))
-    u_terms = u.select("unit_id", F.explode("unit_terms").alias("term"))
-    counts = u_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = c.select("claim_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counts, "term", "left").where("df is not null")
+    keys = [*by, "term"]
+    c = claims.select(*by, "claim_id", mine.alias("terms"), t.has_negation("claim_text").alias("negative")).where(F.size("terms") > 0)
+    u = units.select(*by, "unit_id", theirs.alias("unit_terms"), t.has_negation("text").alias("unit_negative"))
+    u_terms = u.select(*by, "unit_id", F.explode("unit_terms").alias("term"))
+    # Only terms that claims have can join; there are few of those, and Spark filters the units' terms before the shuffle.
+    wanted = c.select(*by, F.explode("terms").alias("term")).distinct()
+    counts = u_terms.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
+    each = c.select(*by, "claim_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counts, keys, "left")
     # A term that no unit has is the rarest of all and joins nothing; it takes a place in the prefix.
-    absent = c.select("claim_id", F.size("terms").alias("n")).join(ranked.groupBy("claim_id").agg(F.count(F.lit(1)).alias("here")), "claim_id").withColumn("gone", F.col("n") - F.col("here")).select("claim_id", "gone")
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy("df", "term"))
-    prefix = ranked.withColumn("place", place).join(absent, "claim_id").where(F.col("place") + F.col("gone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    pairs = prefix.select("claim_id", "term").join(u_terms, "term").select("claim_id", "unit_id").distinct()
-    full = pairs.join(c, "claim_id").join(u, "unit_id")
+    place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    prefix = each.withColumn("place", place).where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1))
+    pairs = prefix.select(*keys, "claim_id").join(u_terms, keys).select("claim_id", "unit_id").distinct()
+    full = pairs.join(c.drop(*by), "claim_id").join(u.drop(*by), "unit_id")
     shared = F.size(F.array_intersect("terms", "unit_terms"))
     return full.select("claim_id", "unit_id", shared.alias("shared"), (shared / F.size("terms")).alias("overlap"), (F.col("negative") == F.col("unit_negative")).alias("agrees")).where(F.col("overlap") >= threshold)
 
@@ -103,16 +108,25 @@ def resolve_citations(citations: DataFrame, units: DataFrame) -> DataFrame:
     citation (citation_id, source_id, cited: parsed) means; null if none does.
 
     Comments and frames match by number, moments by the overlapping unit with the nearest start, whole sources by the
-    first unit. One join on the source, one aggregation; no loop.
+    first unit. One equi-join on the source and a key: a number, a mark of first units, or one of the spans of SPAN_MS
+    that a moment and a unit reach into.
     """
-    u = units.select("source_id", F.struct("pos", "unit_id", "start_ms", "end_ms", "comment_id", "frame_index").alias("u"))
-    rows = citations.join(u, "source_id", "left")
-    k, a = F.col("cited.kind"), F.col("cited")
-    fits = (
-        F.when(k == "comment", F.col("u.comment_id") == a["comment_id"])
-        .when(k == "frame", F.col("u.frame_index") == a["frame_index"])
-        .when(k == "timestamp", (F.col("u.start_ms") <= F.coalesce(a["end_ms"], a["start_ms"])) & (F.col("u.end_ms") >= a["start_ms"]))
-        .otherwise(k == "source")
-    )
-    far = F.when(k == "timestamp", F.abs(F.col("u.start_ms") - a["start_ms"])).otherwise(0)
-    return rows.groupBy("citation_id").agg(F.min(F.when(fits & F.col("u").isNotNull(), F.struct(far.alias("far"), F.col("u.pos").alias("pos"), F.col("u.unit_id").alias("unit_id")))).getField("unit_id").alias("unit_id"))
+    none = F.array().cast("array<string>")
+    spans = lambda start, end: F.transform(F.sequence(F.floor(start / SPAN_MS), F.floor(F.greatest(start, end) / SPAN_MS)), lambda i: F.concat(F.lit("t:"), i.cast("string")))
+    named = lambda mark, x: F.when(x.isNotNull(), F.array(F.concat(F.lit(mark), x.cast("string")))).otherwise(none)
+    a, kind = F.col("a"), F.col("a.kind")
+    until = F.coalesce(a["end_ms"], a["start_ms"])
+    keys = F.when(kind == "comment", named("c:", a["comment_id"])).when(kind == "frame", named("f:", a["frame_index"])).when(kind == "source", F.array(F.lit("s"))).when((kind == "timestamp") & a["start_ms"].isNotNull(), spans(a["start_ms"], until)).otherwise(none)
+    # The parsed citation goes through a generator, so that it is parsed once and not once for each of its fields.
+    parsed = citations.select("citation_id", "source_id", F.explode(F.array("cited")).alias("a"))
+    cited = parsed.select("citation_id", "source_id", a["start_ms"].alias("from"), until.alias("to"), F.explode(keys).alias("key"))
+    timed = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    found = F.concat(named("c:", F.col("comment_id")), named("f:", F.col("frame_index")), F.when(timed, spans(F.col("start_ms"), F.col("end_ms"))).otherwise(none))
+    row = F.struct("pos", "unit_id").alias("u")
+    first = units.groupBy("source_id").agg(F.min(row).alias("u")).select("source_id", F.lit("s").alias("key"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), "u")
+    known = units.select("source_id", F.explode(found).alias("key"), F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), row).unionByName(first)
+    moment = F.col("key").startswith("t:")
+    hits = cited.join(known, ["source_id", "key"]).where(~moment | ((F.col("start_ms") <= F.col("to")) & (F.col("end_ms") >= F.col("from"))))
+    far = F.when(moment, F.abs(F.col("start_ms") - F.col("from"))).otherwise(0)
+    best = hits.groupBy("citation_id").agg(F.min(F.struct(far.alias("far"), "u.pos", "u.unit_id")).getField("unit_id").alias("unit_id"))
+    return citations.select("citation_id").distinct().join(best, "citation_id", "left")

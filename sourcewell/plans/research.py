@@ -307,25 +307,27 @@ def citation_links(spark, sf):
 
 
 def _claims(spark, sf):
-    return v.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.substring("text", 1, 160).alias("claim_text"))
+    return v.table(spark, sf, "benchmark").select((F.col("item_id") % 10).alias("run_id"), F.col("item_id").alias("claim_id"), F.concat_ws(" ", "text", F.expr(_ZH_CLAIM)).alias("claim_text"))
 
 
 def _units(spark, sf):
-    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("unit_id"), F.substring("text", 1, 400).alias("text"))
-
-
-_TERMS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9+._-]*'))"
-_NEG = _any("lower({0})", ("not", "no", "never", "without", "false"))
-_PAIRS = f"""c as (select item_id as claim_id, {_TERMS.format('substr(text, 1, 160)')} as t, {_NEG.replace('{0}', 'substr(text, 1, 160)')} as neg from benchmark),
-u as (select doc_id as unit_id, {_TERMS.format('substr(text, 1, 400)')} as t, {_NEG.replace('{0}', 'substr(text, 1, 400)')} as neg from documents where text is not null),
-ct as (select claim_id, len(t) as n, unnest(t) as term from c), ut as (select unit_id, unnest(t) as term from u),
-sh as (select claim_id, unit_id, max(n) as n, count(*) as shared from ct join ut using (term) group by 1, 2),
+    return v.table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("run_id"), F.col("doc_id").alias("unit_id"), F.concat_ws(" ", "text", F.expr(_ZH_UNIT)).alias("text"))
+
+
+# Some claims and units have Chinese words, so that pairs, single characters and Chinese negations are met.
+_ZH_CLAIM = "case item_id % 3 when 0 then '降噪不好' when 1 then '音质好 x 强' else '' end"
+_ZH_UNIT = "case doc_id % 4 when 0 then '降噪很好' when 1 then '音质好，强' else '' end"
+_TERMS = "list_distinct(list_concat(regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9+._-]*'), flatten(list_transform(regexp_extract_all(lower({0}), '[一-鿿]+'), lambda r: case when length(r) = 1 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))))"
+_NEG = _any("lower({0})", ("不", "没有", "并非", "不是", "无", "not", "no", "never", "without", "false"))
+_PAIRS = f"""ctext as (select item_id % 10 as run_id, item_id as claim_id, concat_ws(' ', text, {_ZH_CLAIM}) as x from benchmark), utext as (select doc_id % 10 as run_id, doc_id as unit_id, concat_ws(' ', text, {_ZH_UNIT}) as x from documents),
+c as (select run_id, claim_id, {_TERMS.format('x')} as t, {_NEG.replace('{0}', 'x')} as neg from ctext), u as (select run_id, unit_id, {_TERMS.format('x')} as t, {_NEG.replace('{0}', 'x')} as neg from utext),
+ct as (select run_id, claim_id, len(t) as n, unnest(t) as term from c), ut as (select run_id, unit_id, unnest(t) as term from u),
+sh as (select claim_id, unit_id, max(n) as n, count(*) as shared from ct join ut using (run_id, term) group by 1, 2),
 pairs as (select sh.claim_id, sh.unit_id, shared, shared / cast(n as double) as overlap, c.neg = u.neg as agrees from sh join c using (claim_id) join u using (unit_id) where shared / cast(n as double) >= 0.3)"""
 
 
 def _pairs(spark, sf):
-    latin = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9][a-z0-9+._-]*"), F.lit(0)))
-    return grounding.claim_overlap(_claims(spark, sf), _units(spark, sf), term_sets=(latin("claim_text"), latin("text")))
+    return grounding.claim_overlap(_claims(spark, sf), _units(spark, sf), by=("run_id",))
 
 
 @query(f"with {_PAIRS} select claim_id, unit_id, shared, round(overlap, 4) as overlap, agrees from pairs")
@@ -397,19 +399,20 @@ def stop_policy(spark, sf):
 
 
 @query(
-    f"""with {v.SRC}, {v.LOGS}, few as (select * from logs where seq % 97 < 4), p as (select run_id, unnest([{', '.join(repr(p) for p in v.PLATFORMS)}]) as platform from (select distinct run_id from src)),
-l as (select run_id, platform, count(*) as runs, count(*) filter (where ok and count > 0) as good, arg_max(note, seq) as note from few where seq < 300 group by 1, 2)
+    f"""with {v.LOGS.replace('user_id % 10 as run_id', 'user_id as run_id')}, p as (select run_id, unnest([{', '.join(repr(p) for p in v.PLATFORMS)}]) as platform from (select distinct run_id from logs)),
+l as (select run_id, platform, count(*) as runs, count(*) filter (where ok and count > 0) as good, arg_max(note, seq) as note from logs group by 1, 2)
 select p.run_id, p.platform, coalesce(runs, 0) as runs, case when runs is null then true when runs >= 2 or good > 0 then false else not contains(note, 'permission denied') end as retry from p left join l on l.run_id = p.run_id and l.platform = p.platform"""
 )
 def platform_retry(spark, sf):
-    planned = v.src(spark, sf).select("run_id").distinct().select("run_id", F.explode(t.words(v.PLATFORMS)).alias("platform"))
-    return coverage.platform_retry(planned, v.logs(spark, sf).where("seq % 97 < 4 and seq < 300"))
+    logs = v.logs(spark, sf, by_user=True)
+    planned = logs.select("run_id").distinct().select("run_id", F.explode(t.words(v.PLATFORMS)).alias("platform"))
+    return coverage.platform_retry(planned, logs)
 
 
-@query(f"with {v.SRC}, p as (select run_id, platform, count(*) as n from src where source_id % 7 = source_id % 2 group by 1, 2) select run_id, source_id from src where source_id % 3 = 1 and not exists (select 1 from p where p.run_id = src.run_id and p.platform = src.platform and p.n >= 6)")
+@query(f"with {v.SRC}, p as (select run_id, platform, count(*) as n from src where n_comments > 0 group by 1, 2) select run_id, source_id from src where n_comments = 0 and not exists (select 1 from p where p.run_id = src.run_id and p.platform = src.platform and p.n >= 6)")
 def fallback_gate(spark, sf):
     s = v.src(spark, sf)
-    return coverage.fallback_rows(s.where("source_id % 7 = source_id % 2"), s.where("source_id % 3 = 1"), 12).select("run_id", "source_id")
+    return coverage.fallback_rows(s.where("n_comments > 0"), s.where("n_comments = 0"), 12).select("run_id", "source_id")
 
 
 _ZH = "case source_id % 4 when 0 then '降噪很好，音质清晰' when 1 then '佩戴舒适 音质一般' when 2 then '音质优秀。降噪弱' else '续航' end"

@@ -61,11 +61,11 @@ DECORATED = f"""{SRC}, scored as (
 deco as (select *, {_HITS} as n_matches, least(100, 35 + 15 * ({_HITS}) + least(30, evidence_score // 2)) as relevance from scored)"""
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as provider runs of the ten research runs."""
+def logs(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
+    """Events as provider runs of the ten research runs, or of one run for each user."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        (F.col("user_id") % 10).alias("run_id"), _platform("event_id").alias("platform"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 3).alias("count"),
+        (F.col("user_id") if by_user else F.col("user_id") % 10).alias("run_id"), _platform("event_id").alias("platform"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 3).alias("count"),
         F.when(F.col("event_type") == "error", "permission denied").otherwise(F.col("event_type")).alias("note"),
     )
 

@@ -99,13 +99,21 @@ def run_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 mi
     return events.withWatermark("ts", delay).groupBy("run_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def exit_metrics(events: DataFrame) -> DataFrame:
-    """One row: runs, share that ended, mean seconds from the first event to the first sources."""
+def exit_metrics(events: DataFrame, sources: DataFrame | None = None, citations: DataFrame | None = None, citable: int = 3) -> DataFrame:
+    """One row: runs, share that ended, mean seconds from the first event to the first sources; with sources (run_id) the
+    share of their runs that have `citable` of them, and with citations (unit_id, null if unresolved) the resolved share."""
     runs = events.groupBy("run_id").agg(
         F.bool_or(F.col("type").isin("final_report", "error", "run_cancelled")).alias("ended"),
         (F.min(F.when(F.col("type") == "sources", F.col("ts"))).cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("wait"),
     )
-    return runs.agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(F.col("ended").cast("int")), 6).alias("ended_share"), F.round(F.avg("wait"), 3).alias("mean_wait"))
+    share = lambda x: F.round(F.avg(x.cast("int")), 6)
+    out = runs.agg(F.count(F.lit(1)).alias("runs"), share(F.col("ended")).alias("ended_share"), F.round(F.avg("wait"), 3).alias("mean_wait"))
+    # Each of these tables is one row.
+    if sources is not None:
+        out = out.join(sources.groupBy("run_id").agg((F.count(F.lit(1)) >= citable).alias("enough")).agg(share(F.col("enough")).alias("citable_share")))
+    if citations is not None:
+        out = out.join(citations.agg(share(F.col("unit_id").isNotNull()).alias("resolved_share")))
+    return out
 
 
 def upsert_stream(deltas: DataFrame, read_base: Callable[[SparkSession], DataFrame], write: Callable[[DataFrame], None], keys: list[str], checkpoint: str):
