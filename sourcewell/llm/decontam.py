@@ -28,8 +28,10 @@ WINDOW = 8
 MIN_COVERAGE = 0.5
 #: Blocks of an occurrence may be that share of the item's words apart in their diagonals, or a window if that is more.
 MAX_DRIFT = 0.25
-#: Share of a window's words that must be no placeholders; an item without such windows keeps all, and counts if verbatim.
+#: Share of a window's words that must be no placeholders. Items of which no window has so many are matched by all their
+#: windows that have SLOTTED_WORDS of them, but must be covered to SLOTTED_COVERAGE; items without those, if verbatim.
 MIN_LITERAL = 0.5
+SLOTTED_WORDS, SLOTTED_COVERAGE = 2, 0.9
 #: Bits of the bitmap of benchmark windows: its size, 2 MB, doesn't depend on the data.
 BITMAP_BITS = 24
 VOCABULARY_LIMIT = 150_000
@@ -132,27 +134,30 @@ def _slots(words: list[str], places: np.ndarray, slot: np.ndarray, at: int, widt
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, width, h, slots, total (windows kept of the item), words (that those have) and verbatim (windows
-    of plain words, as the template has too few of them)."""
+    """item_id, pos, width, h, slots, total (windows kept of the item), words (that those have), least (coverage that an
+    occurrence must have at least) and verbatim (windows of plain words, as the template has too few of them)."""
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("item_id", "pos", "width", "h", "slots", "total", "words", "verbatim")}
+        out: dict[str, list] = {k: [] for k in ("item_id", "pos", "width", "h", "slots", "total", "words", "least", "verbatim")}
         for item, (words, own, places, hashes, slot) in zip(rows["item_id"], template(rows["text"]), strict=True):
             width = min(WINDOW, len(hashes))
             found = windows(hashes, width) if width else []
-            kept = [i for i in range(len(found)) if (~slot[i : i + width]).sum() >= MIN_LITERAL * width]
+            literal = [int((~slot[i : i + width]).sum()) for i in range(len(found))]
+            kept, least = [i for i, n in enumerate(literal) if n >= MIN_LITERAL * width], 0.0
+            if not kept:
+                kept, least = [i for i, n in enumerate(literal) if n >= SLOTTED_WORDS], SLOTTED_COVERAGE
             verbatim = not kept
             if verbatim:
                 width = min(WINDOW, len(words))
                 found = windows(own, width) if width else []
-                kept, slot = list(range(len(found))), np.zeros(len(words), bool)
+                kept, least, slot = list(range(len(found))), 0.0, np.zeros(len(words), bool)
             held = len({i + k for i in kept for k in range(width)})
             for i in kept:
-                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _slots(words, places, slot, i, width), len(kept), held, verbatim), strict=True):
+                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _slots(words, places, slot, i, width), len(kept), held, least, verbatim), strict=True):
                     out[k].append(v)
         return out
 
-    return map_texts(benchmark.select("item_id", "text"), run, "item_id long, pos int, width int, h long, slots array<string>, total int, words int, verbatim boolean")
+    return map_texts(benchmark.select("item_id", "text"), run, "item_id long, pos int, width int, h long, slots array<string>, total int, words int, least double, verbatim boolean")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -243,12 +248,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVER
     hits = (
         found.where(F.size("own") == F.size("slots"))
         .groupBy("doc_id", "item_id")
-        .agg(F.collect_set(F.struct("start", "pos", "own", "slots")).alias("hits"), F.first("width").alias("width"), F.first("total").alias("total"), F.first("words").alias("words"))
+        .agg(F.collect_set(F.struct("start", "pos", "own", "slots")).alias("hits"), F.first("width").alias("width"), F.first("total").alias("total"), F.first("words").alias("words"), F.first("least").alias("least"))
     )
 
     def judge(batches):
         for batch in batches:
-            rows = [(r["doc_id"], r["item_id"], *best) for r in batch.to_pylist() if (best := occurrence(r["hits"], r["width"], r["total"], r["words"], min_coverage))]
+            rows = [(r["doc_id"], r["item_id"], *best) for r in batch.to_pylist() if (best := occurrence(r["hits"], r["width"], r["total"], r["words"], max(min_coverage, r["least"])))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "coverage", "verbatim"])
 
     return hits.mapInArrow(releasing(judge), "doc_id long, item_id long, coverage double, verbatim boolean")

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import learns, map_texts, releasing, slices
 
-#: Bounds of the labelled sample: documents per language (by a hash of the id), characters taken from each of them,
-#: bytes of a dictionary, and languages (those with most documents).
+#: Bounds of the labelled sample: documents per language (by a hash of the id), characters taken from each of them (at a
+#: place that the hash chooses), bytes of a dictionary, and bytes of all dictionaries, which share them evenly.
 SAMPLE_DOCUMENTS = 256
 SAMPLE_CHARACTERS = 1_000
-DICTIONARY_BYTES = 64 << 10
-MAX_LANGUAGES = 64
+DICTIONARY_BYTES, MODEL_BYTES = 64 << 10, 16 << 20
+#: More labels than any set of languages has are refused: they are no languages then.
+MOST_LABELS = 8_000
 #: Long texts are compressed in blocks, so that a dictionary counts for more than a text's own repeats.
 BLOCK_BYTES = 2048
 #: Texts of fewer bytes are compressed at a higher level, as three copies: their first copy alone gains too little.
@@ -46,21 +47,27 @@ def normalised(text: str | None) -> bytes:
 def train(docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> tuple[tuple[str, bytes], ...]:
     """(language, dictionary) pairs, most frequent language first, from rows of docs (doc_id, text, lang).
 
-    Rows without text or lang don't count. Ids are ranked first, without their texts; then only the sampled texts are
-    read. The sample is bounded by this module's constants.
+    Rows without text or lang don't count. Every label that occurs gets a dictionary. Ids are ranked first, without their
+    texts; then only the sampled texts are read. The sample is bounded by this module's constants.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS + 1).collect()}
     langs = list(counts)
     if not langs:
         return ()
+    if len(langs) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} different labels in lang")
+    size = min(size, MODEL_BYTES // len(langs))
+    sample = min(sample, max(4, 4 * size // SAMPLE_CHARACTERS))
     # Keys are evenly spread below 2 ** 30: a bound for each language lets about four times the sample through to the ranking.
     key = F.shiftrightunsigned(F.xxhash64("doc_id"), 34)
-    bound = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1 << 30, -(-(4 * sample + 64 << 30) // n)))) for lang, n in counts.items()))
+    limits = docs.sparkSession.createDataFrame([(lang, min(1 << 30, -(-(4 * sample + 64 << 30) // n))) for lang, n in counts.items()], "lang string, bound long")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    ids = known.select("doc_id", "lang", key.alias("key")).where(F.col("key") < bound).withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id")
-    chosen = sorted({r.doc_id for r in ids.collect()})
-    texts = known.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(langs)).select("lang", F.xxhash64("doc_id").alias("key"), "doc_id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
+    near = known.select("doc_id", "lang", key.alias("key")).join(F.broadcast(limits), "lang").where("key < bound")  # at most MOST_LABELS rows
+    ids = near.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
+    # The sampled ids are bounded; a document that isn't among them doesn't travel.
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARACTERS + 1)).cast("int") + 1
+    texts = known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("key"), "doc_id", F.substring("text", start, F.lit(SAMPLE_CHARACTERS)).alias("text"))
     content: dict[str, bytes] = {}
     for r in sorted(texts.collect(), key=lambda r: (r.key, r.doc_id, r.text)):
         if len(content.setdefault(r.lang, b"")) < size:

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from sourcewell.llm import decontam
 from sourcewell.llm.decontam import leaks
 
 ITEM = "Yesterday Maria bought 12 apples and 5 kg of flour, then she gave 12 apples to Pedro because he was hungry."
@@ -64,3 +65,55 @@ def test_inserted_and_missing_words_and_longer_fillers(spark):
     got = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert set(got) == {(1, 2), (2, 2), (3, 2), (5, 1), (6, 1), (7, 1)}
     assert got[1, 2].coverage == 1 and 0.9 < got[2, 2].coverage < 1 and got[1, 2].verbatim and got[5, 1].coverage == 1
+
+
+def brute(docs, items):
+    """Every window of every document against every window of every item, without bitmap or join."""
+    out = set()
+    for item, text in items:
+        (words, own, places, hashes, slot), = decontam.template([text])
+        width = min(decontam.WINDOW, len(hashes))
+        grams = decontam.windows(hashes, width)
+        literal = [int((~slot[i : i + width]).sum()) for i in range(len(grams))]
+        kept, least = [i for i, n in enumerate(literal) if n >= width / 2], 0.5
+        if not kept:
+            kept, least = [i for i, n in enumerate(literal) if n >= 2], 0.9
+        if not kept:
+            continue
+        held = len({i + k for i in kept for k in range(width)})
+        for doc, body in docs:
+            (words2, _, places2, hashes2, slot2), = decontam.template([body])
+            theirs = decontam.windows(hashes2, width)
+            hits = [
+                {"start": j, "pos": i, "own": decontam._slots(words, places, slot, i, width), "slots": decontam._slots(words2, places2, slot2, j, width)}
+                for i in kept for j in range(len(theirs)) if grams[i] == theirs[j]
+            ]
+            if hits and decontam.occurrence(hits, width, len(kept), held, least):
+                out.add((doc, item))
+    return out
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    """All numbers and names changed: every item is met again, those that are mostly slots too, as brute force says."""
+    rng = random.Random(3)
+    names = ["Maria", "Hannah", "Pedro", "Otto", "Akira", "Lena", "Tomas", "Wei"]
+    verbs, things = ["bought", "sold", "carried", "counted", "gave away", "lost"], ["apples", "bricks", "letters", "coins", "lamps"]
+
+    def question(kind, a, b, c, n1, n2):
+        if kind % 3 == 0:  # mostly slots
+            return f"{a} {n1} and {b} {n2} and {c} {n1} or {b} {n1} and {a} {n2} and {c} {n2} or {a} {n1}"
+        shape = random.Random(kind)
+        v, w, x, y = shape.choice(verbs), shape.choice(verbs), shape.choice(things), shape.choice(things)
+        return f"On monday {a} {v} {n1} {x} and {n2} {y} while {b} {w} only {n2} {x}, so how many {y} has {c} got after {a} {v} {n1} {x} number {kind}x"
+
+    items, docs = [], []
+    for i in range(45):
+        first, second = rng.sample(names, 3), rng.sample(names, 3)
+        items.append((i, question(i, *first, rng.randint(2, 99), rng.randint(100, 999))))
+        noise = " ".join(rng.choices(["river", "stone", "walk", "bright", "under", "bread"], k=rng.randint(5, 60)))
+        docs.append((i, f"{noise}. " + question(i, *second, rng.randint(2, 99), rng.randint(100, 999)) + f". {noise}"))
+        docs.append((1000 + i, noise + " " + " ".join(f"{rng.choice(names)} {rng.randint(2, 99)}" for _ in range(9))))
+    got = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items)
+    assert sum((i, i) in got for i in range(45)) >= 43
+    assert all(d < 1000 for d, _ in got)

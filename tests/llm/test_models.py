@@ -51,6 +51,39 @@ def test_language_model_without_labels(spark):
     assert language_id.train_and_identify(df.limit(0)).count() == 0
 
 
+def test_many_labels_each_get_a_dictionary(spark):
+    """More than a hundred labels of a few documents: a text with a label's own words goes to it, as brute force says."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(130):
+        own = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30)]
+        rows += [(10 * k + j, " ".join(rng.choices(own, k=120)), f"l{k}") for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert len(model) == 130
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows]) > 0.97
+    for i, text, _ in rows[::97]:  # every size written out, the smallest wins
+        data = language_id.normalised(text)
+        sizes = language_id.sizes(data, model)
+        assert got[i].lang_pred == model[sizes.index(min(sizes))][0]
+
+
+def test_quality_scores_equal_written_out_sums(spark):
+    """The score of a row is the logistic of the bias and one entry of each table, looked up one by one."""
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, rng.choice(sorted(WORDS)), rng.randint(1, 90)) if i % 2 else "A" * i + "!!") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    x = quality.features([t for _, t in rows])
+    for k, (i, _) in enumerate(rows):
+        total = model.bias + sum(t[int((e <= v).sum())] for t, e, v in zip(model.tables, model.edges, x[k], strict=True))
+        coarse = [int((e <= v).sum()) for e, v in zip(model.pair_edges, x[k], strict=True)]
+        total += sum(t[coarse[a], coarse[b]] for t, (a, b) in zip(model.pair_tables, model.pairs, strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(2)
     rows, labels = [], []
