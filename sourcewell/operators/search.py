@@ -164,13 +164,13 @@ def faceted(sources: DataFrame, platform: str = "all", cover: bool | None = None
 # ---- page data -------------------------------------------------------------------------------------------------------
 
 
-def embedded(html: str | Column, pattern: str) -> Column:
-    """The JSON that a pattern's first group finds in a page, over any number of lines, `undefined` values as empty
-    texts (never inside strings); null if it doesn't parse."""
+def embedded(html: str | Column, pattern: str, bare: str = '""') -> Column:
+    """The JSON that a pattern's first group finds in a page, over any number of lines, `undefined` values as `bare`
+    (never inside strings); null if it doesn't parse."""
     raw = F.regexp_extract(F.coalesce(t.c(html), F.lit("")), f"(?s){pattern}", 1)
     # Strings are kept whole by marking what follows them; a mark that is left stands for the bare word.
     marked = F.regexp_replace(raw, rf"({_STRING})|\bundefined\b", "$1\u0000")
-    fixed = F.replace(F.regexp_replace(marked, f"({_STRING})\u0000", "$1"), F.lit("\u0000"), F.lit('""'))
+    fixed = F.replace(F.regexp_replace(marked, f"({_STRING})\u0000", "$1"), F.lit("\u0000"), F.lit(bare))
     return F.when((fixed != "") & F.try_parse_json(fixed).isNotNull(), fixed)
 
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import drafts, records, research, tables
+from . import drafts, pieces, records, research, tables
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return research.QUERIES | tables.QUERIES | drafts.QUERIES | records.QUERIES
+    return research.QUERIES | tables.QUERIES | drafts.QUERIES | records.QUERIES | pieces.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return research.SQL | tables.SQL | drafts.SQL | records.SQL
+    return research.SQL | tables.SQL | drafts.SQL | records.SQL | pieces.SQL

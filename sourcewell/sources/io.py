@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators.search import embedded
 
 # fixed values: names under which payloads keep their rows
 ENVELOPES = ("items", "data", "results", "videos", "list")
@@ -36,23 +37,21 @@ def unwrap(df: DataFrame, column: str = "payload", depth: int = 3) -> DataFrame:
 
 def first_json(df: DataFrame, column: str = "text") -> DataFrame:
     """df with first_json: the first JSON object or list inside a text, null if there is none."""
-    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + ", first_json string"
 
     def scan(text: str | None) -> str | None:
         decoder = json.JSONDecoder()
-        for i, ch in enumerate(text or ""):
-            if ch in "[{":
-                try:
-                    return json.dumps(decoder.raw_decode(text, i)[0], ensure_ascii=False)
-                except json.JSONDecodeError:
-                    continue
+        for m in re.finditer(r"[\[{]", text or ""):
+            try:
+                return json.dumps(decoder.raw_decode(text, m.start())[0], ensure_ascii=False)
+            except json.JSONDecodeError:
+                continue
         return None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.assign(first_json=pdf[column].map(scan))
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(scan)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn("first_json", found(column))
 
 
 def json3_captions(df: DataFrame, column: str = "content") -> DataFrame:
@@ -81,8 +80,7 @@ def pick_track(tracks: DataFrame, languages: list[str]) -> DataFrame:
 
 def page_state(pages: DataFrame, marker: str, column: str = "html") -> DataFrame:
     """pages with state: the JSON that a page assigns after marker inside a script; bare undefined becomes null."""
-    raw = F.regexp_extract(column, marker + r"\s*=\s*(\{.*?\})\s*;?\s*</script>", 1)
-    return pages.withColumn("state", F.nullif(F.regexp_replace(raw, r":\s*undefined\b", ":null"), F.lit("")))
+    return pages.withColumn("state", embedded(column, marker + r"\s*=\s*(\{.*?\})\s*;?\s*</script>", "null"))
 
 
 def page_script(pages: DataFrame, script_id: str, column: str = "html") -> DataFrame:
