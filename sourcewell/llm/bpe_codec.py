@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import mmap
-import os
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_core import Vocabulary, vocabulary
-from .common import cut, map_texts, releasing, slices
+from .common import cut, map_texts, releasing, shared_file, slices
 from .token_counts import pre_tokens
 
 #: The most words of the lexicon, which bounds the file (about 30 bytes a word) and the driver's share.
@@ -179,10 +177,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -
     distinct = [r.word.encode() for r in top]
     data = compile_lexicon(distinct, [vocab.merge(w) for w in distinct])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(path)
+    shared_file(spark, name, data)
     return name
 
 

@@ -78,6 +78,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark, "_sourcewell_shared", None)
         if not where:
             where = tempfile.mkdtemp(prefix="spark-")
@@ -85,6 +87,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> None:
+    """Write a small file to the shared folder and hand it to all executors, later ones too; SparkFiles finds it by name."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(data)
+    out.close()
+    context.addFile(path.toString())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -154,7 +166,15 @@ def maybe_in(docs: DataFrame, ids: DataFrame, bits: DataFrame | None = None, ins
     others there are falls with the share of ids, and is never less than right. The bitmap's size is bounded, so it
     is broadcast whatever the tables' sizes.
     """
-    words = F.broadcast(bitmap(ids) if bits is None else bits)
-    has = F.coalesce(F.expr("__bits & shiftleft(1L, cast(__place & 31 as int))"), F.lit(0)) != 0
-    rows = docs.withColumn("__place", _place()).withColumn("__word", F.shiftright("__place", 5))
-    return rows.join(words, "__word", "left").where(has == inside).select(*docs.columns)
+    place, word, held = (_fresh(name, docs.columns) for name in ("__place", "__word", "__bits"))
+    words = F.broadcast((bitmap(ids) if bits is None else bits).toDF(word, held))
+    has = F.coalesce(F.expr(f"`{held}` & shiftleft(1L, cast(`{place}` & 31 as int))"), F.lit(0)) != 0
+    rows = docs.withColumn(place, _place()).withColumn(word, F.shiftright(place, 5))
+    return rows.join(words, word, "left").where(has == inside).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _fresh(name: str, columns: list[str]) -> str:
+    """A column's name that isn't taken."""
+    while name in columns:
+        name += "_"
+    return name

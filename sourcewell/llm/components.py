@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, deal_mask, deals, dealt
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u, v), u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both = dealt(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), deal_mask())
+    # The root of a large component has many links: they meet its row in as many tasks as they are dealt to.
+    large = both.join(deals(least, "u", "m"), ["u", "deal"]).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     # Links of a node to its own least neighbour stay: they come from that neighbour's side as (u, v).
-    large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = dealt(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "v")
+    least = large.groupBy("u").agg(F.min("v").alias("m"), deal_mask())
+    small = large.join(deals(least, "u", "m"), ["u", "deal"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
 

@@ -16,42 +16,55 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and their groups over whole documents. Null and wordless texts have fingerprint zero and are linked like
+    any other; repeated rows stay and share a group; ties don't arise, the smallest id names the group."""
     from .simhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole documents. Null and empty texts have none; repeated rows are counted each."""
     from .token_counts import token_counts
 
     return token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole documents, learned from those that may be learned from. Null and letterless texts are 'und';
+    equal sizes go to the language with more training documents; a null doc_id has a null held_out and teaches nothing."""
     from .language_id import train_and_identify
 
     return train_and_identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of whole documents. Null texts are empty; texts under 200 bytes keep all; repeated rows are
+    documents of their own, so all of their bytes go if they are long enough."""
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(documents(spark, sf_dir))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in whole documents. Null and empty texts have none; repeated rows are scanned each; overlapping kinds are
+    listed in their fixed order."""
     from .secrets import report
 
     return report(documents(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with benchmark items: doc_id, item_id, coverage, verbatim. Null, empty and wordless texts and items match
+    nothing; repeated rows count once; of several occurrences the best is told."""
     from .decontam import leaks
 
     return leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of whole documents and the text that they decode to, as digests. Null and empty texts have no ids; repeated rows
+    are encoded each."""
     from .bpe_codec import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_path())
@@ -65,12 +78,16 @@ def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of whole pages. Null, empty and text-free pages give an empty text; pages repeated on a host count as one
+    content there; a null address belongs to the host of pages without one."""
     from .html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole documents. Null and empty texts are scored by features that are all zero; labels of a document
+    that contradict each other count as 0; a null doc_id has a null held_out and teaches nothing."""
     from .quality import train_and_score
 
     return train_and_score(documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality"))

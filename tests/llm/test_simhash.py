@@ -84,3 +84,21 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bitmap_of_tables_with_its_own_column_names(spark):
+    from sourcewell.llm.common import maybe_in
+
+    docs = spark.createDataFrame([(i, f"w{i}", i, 7, "p") for i in range(50)], "doc_id long, __word string, __bits long, __place int, place string")
+    ids = spark.createDataFrame([(3,), (4,)], "doc_id long")
+    inside, outside = maybe_in(docs, ids).collect(), maybe_in(docs, ids, inside=False).collect()
+    assert {tuple(r) for r in inside} | {tuple(r) for r in outside} == {tuple(r) for r in docs.collect()}
+    assert {3, 4} <= {r.doc_id for r in inside} and len(inside) + len(outside) == 50
+
+
+def test_components_with_a_hot_root(spark):
+    from sourcewell.llm.components import components
+
+    edges = [(i, 0) for i in range(1, 2000)] + [(5000 + i, 5000 + i + 1) for i in range(40)] + [(7, 7), (5001, 5000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 2000)} | {5000 + i: 5000 for i in range(1, 41)}
