@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as t
 from .text import c
 from .times import clock_to_ms, ms_to_clock
 
@@ -37,24 +38,30 @@ def format_citation(platform: str | Column, object_id: str | Column, start_ms: C
 
 def parse_citation(x: str | Column) -> Column:
     """platform, object_id, kind, start_ms, end_ms, comment_id, frame_index; kind is 'invalid' for other texts."""
-    text = F.trim(c(x))
-    part = lambda pattern, i, of=text: F.regexp_extract(of, pattern, i)
-    suffix = part(PATTERN, 3)
-    start, end = clock_to_ms(part(MOMENT, 1, suffix)), clock_to_ms(part(MOMENT, 2, suffix))
-    known = text.rlike(PATTERN)
-    kind = (
-        F.when(~F.coalesce(known, F.lit(False)), "invalid")
-        .when(suffix == "", "source")
-        .when(suffix.rlike(MOMENT), F.when(start.isNotNull() & end.isNotNull() & (end >= start), "timestamp").otherwise("invalid"))
-        .when(suffix.rlike(COMMENT), "comment")
-        .when(suffix.rlike(FRAME), "frame")
-        .otherwise("invalid")
-    )
-    fields = F.struct(part(PATTERN, 1).alias("platform"), part(PATTERN, 2).alias("object_id"), kind.alias("kind"), start.alias("start_ms"), end.alias("end_ms"), part(COMMENT, 1, suffix).alias("comment_id"), part(FRAME, 1, suffix).try_cast("int").alias("frame_index"))
-    none = F.struct(F.lit("").alias("platform"), F.lit("").alias("object_id"), F.lit("invalid").alias("kind"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit("").alias("comment_id"), F.lit(None).cast("int").alias("frame_index"))
-    return F.when(fields["kind"] == "invalid", none).otherwise(
-        F.struct(fields["platform"].alias("platform"), fields["object_id"].alias("object_id"), fields["kind"].alias("kind"), F.when(fields["kind"] == "timestamp", start).alias("start_ms"), F.when(fields["kind"] == "timestamp", end).alias("end_ms"), fields["comment_id"].alias("comment_id"), fields["frame_index"].alias("frame_index"))
-    )
+    part = lambda of, pattern, i: F.regexp_extract(of, pattern, i)
+
+    def outer(text: Column) -> Column:
+        return F.struct(part(text, PATTERN, 1).alias("platform"), part(text, PATTERN, 2).alias("object_id"), part(text, PATTERN, 3).alias("suffix"), F.coalesce(text.rlike(PATTERN), F.lit(False)).alias("known"))
+
+    def inner(o: Column) -> Column:
+        s = o["suffix"]
+        return F.struct(o.alias("o"), clock_to_ms(part(s, MOMENT, 1)).alias("start"), clock_to_ms(part(s, MOMENT, 2)).alias("end"))
+
+    def kind(i: Column) -> Column:
+        s, start, end = i["o"]["suffix"], i["start"], i["end"]
+        told = F.when(~i["o"]["known"], "invalid").when(s == "", "source").when(s.rlike(MOMENT), F.when(start.isNotNull() & end.isNotNull() & (end >= start), "timestamp").otherwise("invalid"))
+        return F.struct(i.alias("i"), told.when(s.rlike(COMMENT), "comment").when(s.rlike(FRAME), "frame").otherwise("invalid").alias("kind"))
+
+    def fields(f: Column) -> Column:
+        i, o, good = f["i"], f["i"]["o"], f["kind"] != "invalid"
+        moment = f["kind"] == "timestamp"
+        return F.struct(
+            F.when(good, o["platform"]).otherwise("").alias("platform"), F.when(good, o["object_id"]).otherwise("").alias("object_id"), f["kind"].alias("kind"), F.when(moment, i["start"]).alias("start_ms"), F.when(moment, i["end"]).alias("end_ms"),
+            F.when(good, part(o["suffix"], COMMENT, 1)).otherwise("").alias("comment_id"), F.when(good, part(o["suffix"], FRAME, 1)).try_cast("int").alias("frame_index"),
+        )
+
+    # Each step's values are worked out once; as one expression they would be repeated until no compiler takes them.
+    return t.let(t.let(t.let(t.let(F.trim(c(x)), outer), inner), kind), fields)
 
 
 def link(cited: str | Column, source_url: Column | None = None) -> Column:

@@ -24,6 +24,11 @@ def words(values: Iterable[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is worked out once, however often f's expression names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: str | Column) -> Column:
     """Without white space, Unicode's too, at both ends."""
     return F.regexp_replace(c(x), r"(?U)^\s+|\s+$", "")
