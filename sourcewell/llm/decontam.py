@@ -34,7 +34,7 @@ MIN_LITERAL = 0.5
 SLOTTED_WORDS, SLOTTED_COVERAGE = 2, 0.9
 #: Bits of the bitmap of benchmark windows: its size, 2 MB, doesn't depend on the data.
 BITMAP_BITS = 24
-VOCABULARY_LIMIT = 150_000
+VOCABULARY_LIMIT = 100_000
 
 UNITS = set(
     "mm cm m km in inch inches ft feet foot yd yard yards mi mile miles mg g kg t lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons "
