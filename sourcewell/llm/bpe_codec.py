@@ -29,9 +29,9 @@ from .token_counts import pre_tokens
 LEXICON_WORDS = 60_000
 #: Words that a worker keeps in memory, twice: those seen since the last change of tables, and those before. About
 #: 400 bytes a word; a pipeline's workers hold other stages' tables as well, so it uses fewer than a query of its own.
-MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 60_000
+MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 40_000
 #: Different words that a task counts before it hands their counts on.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 60_000
 
 
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
