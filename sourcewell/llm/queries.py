@@ -93,9 +93,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all usable vectors. Null, empty and non-finite vectors are dropped; repeated rows are coded each;
+    null labels are one label; of equally near entries the lower is taken."""
+    from .vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import vector_codes_sql
+
+    return {"op11_vector_codes": vector_codes_sql()}
