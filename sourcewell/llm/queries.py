@@ -101,11 +101,19 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of all damaged conversations. Null roles, texts and numbers of the damage are one space; null turns
+    come first; equal turns by role and text; repeated rows are duplicates; null conv_ids are one conversation."""
+    from .conversations import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import vector_codes_sql
+    from .oracles import repair_sql, vector_codes_sql
 
-    return {"op11_vector_codes": vector_codes_sql()}
+    return {"op11_vector_codes": vector_codes_sql(), "op12_conversation_repair": repair_sql()}
