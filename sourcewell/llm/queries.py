@@ -109,6 +109,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of all whose vec_id is divisible by 100. Null, empty, zero and non-finite vectors and null ids take
+    no part; rows that repeat id and vector count once; of equally near rows the smaller id comes first."""
+    from .neighbours import nearest
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
