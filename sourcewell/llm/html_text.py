@@ -5,7 +5,8 @@ says how often it is on each page of its host; tokens with equal vectors form an
 gathered: each is an exclusive-or of hashes of (page, count), which Spark adds up in parts, so a host may have any
 number of pages. Valid classes nest by their paths into the host's template. What is no template are the slots' data;
 the slot with most of the host's unlinked text is the article's. Names of tags and classes only tell apart what the
-template leaves open: comments or notices inside the article, or pages where no slot stands out.
+template leaves open: comments or notices inside the article's slot, or pages where no slot stands out. A mark on an
+element that holds the slot counts for nothing.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, map_texts, maybe_in, stored
+from .common import bitmap, dealt_join, map_texts, maybe_in, stored
 
-#: A text is template only with that many different pages of its host.
-MIN_SUPPORT = 3
+#: A text is template only with that many different pages of its host, and with one in SHARE of those that have the element
+#: around it, which in turn one in GROUP of the host's pages has: then a host's template texts are at most SHARE * GROUP
+#: times the mean number of texts on its pages, however many pages it has.
+MIN_SUPPORT, SHARE, GROUP = 3, 3, 10
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<(?:[!?/])[^>]*(?:>|\Z)""",
@@ -37,8 +40,10 @@ _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _BARRIER = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "nav", "aside", "footer", "header"}
 #: Elements whose place among their like siblings tells their role, as their names don't; later ones share the last.
 _PLACED, _PLACES = {"div", "section", "table", "td"}, 16
-# Elements, roles and words of class or id attributes that mark what is not the article.
-_APART = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "fieldset"} | _RAW
+# Elements, roles and words of class or id attributes that mark what is not the article. The latter two sets are weak: they
+# are often on elements around a whole page, so an article below makes them void.
+_APART = {"nav", "footer", "aside", "head", "button", "menu", "dialog"} | _RAW
+_APART_WEAK = {"form", "fieldset"}
 _APART_ROLES = {"navigation", "banner", "contentinfo", "search", "complementary", "dialog", "alert", "menu", "form"}
 _APART_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus "
@@ -47,33 +52,52 @@ _APART_WORDS = set(
 )
 
 
+#: Words that may stand beside those in one name: "comments-list" marks, "has-comments", "no-sidebar", "header-fixed" don't.
+_BESIDE = set("area bar block bottom box button buttons container global inner item items left link links list main outer page primary right secondary section site top wrap wrapper".split())
+
+
 class _Open:
-    __slots__ = ("tag", "path", "apart", "level", "linked")
+    """An open element. apart: depth of the innermost marked element that it is or stands in, 0 if none; firm: whether one of
+    those marks is strong; marks: the weakly marked ones, innermost last, that no article or main part below makes void."""
+
+    __slots__ = ("tag", "path", "depth", "apart", "firm", "marks", "level", "linked")
+
+    def __init__(self, tag: str, path: str, depth: int, apart: int, firm: bool, marks: tuple[str, ...], level: int, linked: bool):
+        self.tag, self.path, self.depth, self.apart, self.firm, self.marks, self.level, self.linked = tag, path, depth, apart, firm, marks, level, linked
+
 
-    def __init__(self, tag: str, path: str, apart: bool, level: int, linked: bool):
-        self.tag, self.path, self.apart, self.level, self.linked = tag, path, apart, level, linked
+def _marks(name: str, within: bool) -> bool:
+    """Whether a whole name of a class or id marks its element; headers and banners of an article are its own."""
+    words = {w for w in re.split(r"[^a-z]+", name) if w}
+    found = words & _APART_WORDS
+    return bool(found - ({"header", "banner"} if within else set())) and not words - found - _BESIDE
 
 
 def _element(tag: str, attributes: str, above: _Open, place: int) -> _Open:
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     role = found.get("role", "").lower()
-    words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    words = {w for name in names for w in re.split(r"[^a-z]+", name) if w}
     level = max(above.level, 2 if tag == "article" or "articlebody" in found.get("itemprop", "").lower() else 1 if tag == "main" or role == "main" else 0)
-    apart = above.apart or tag in _APART or role in _APART_ROLES or "hidden" in found or tag == "header" and not above.level
-    if tag not in ("html", "body", "main") and words & _APART_WORDS:
-        apart = apart or bool(words & _APART_WORDS - ({"header", "banner"} if above.level else set()))
-    path = f"{above.path}>{tag}" + "".join(f".{w}" for w in sorted(words)[:4]) + (f"#{place}" if place > 1 else "")
-    return _Open(tag, path if len(path) < 400 else f"#{xxhash.xxh64_hexdigest(path)}", apart, level, above.linked or tag == "a")
+    firm = tag in _APART or role in _APART_ROLES or "hidden" in found or tag == "header" and not above.level
+    weak = tag in _APART_WEAK or tag not in ("html", "body", "main") and any(_marks(name, above.level > 0) for name in names)
+    label = tag + "".join(f".{w}" for w in sorted(words)[:4])
+    label = (label if len(label) < 40 else f"{tag}.{xxhash.xxh32_hexdigest(label)}") + (f"#{place}" if place > 1 else "")
+    path, depth = f"{above.path}>{label}", above.depth + 1
+    path = path if len(path) < 2000 else f"#{xxhash.xxh64_hexdigest(path)}"
+    marks = () if level > above.level else above.marks
+    return _Open(tag, path, depth, depth if firm or weak else above.apart, above.firm or firm, (*marks, path) if weak else marks, level, above.linked or tag == "a")
 
 
-_ROOT = _Open("", "", False, 0, False)
+_ROOT = _Open("", "", 0, 0, False, (), 0, False)
 #: Elements opened lately, by the element above, tag, attributes and place among like siblings.
 _known: dict[tuple[_Open, str, str, int], _Open] = {}
 
 
-def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
-    """Paths and levels of the opening tags with their counts, and the text blocks in order: text, path, whether it stands apart
-    from any article, article level (2 article, 1 main part, 0 neither), and characters outside links.
+def parse(page: str) -> tuple[Counter, list[tuple[str, str, int, int, int, bool]]]:
+    """Paths and levels of the opening tags with their counts, and the text blocks in order: text, path, depth of the innermost
+    marked element around it (0: none), article level (2 article, 1 main part, 0 neither), characters outside links, and
+    whether the marks alone set it apart. A weak mark around all that strong ones leave of a page is none.
 
     One pass over the page; broken, unclosed and cut-off markup is read as browsers do, roughly.
     """
@@ -81,7 +105,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
     placed: list[dict] = [{}]  # of each open element, how many children of a kind it had
     opened: Counter = Counter()
     tags: Counter = Counter()
-    blocks: list[tuple[str, str, bool, int, int]] = []
+    blocks: list[tuple[str, str, int, int, int, bool, tuple[str, ...]]] = []
     parts: list[str] = []
     holder, unlinked = stack[0], 0
 
@@ -91,7 +115,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
             text = "".join(parts) if len(parts) > 1 else parts[0]
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                blocks.append((text, holder.path, holder.apart, holder.level, min(unlinked, len(text))))
+                blocks.append((text, holder.path, holder.apart, holder.level, min(unlinked, len(text)), holder.firm, holder.marks))
             parts, unlinked = [], 0
 
     def pop_to(names: set[str], barrier: set[str]) -> None:
@@ -115,7 +139,7 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
                 holder = stack[-1]
                 if holder.tag in _INLINE:
                     holder = next((x for x in reversed(stack) if x.tag not in _INLINE), _ROOT)
-                if stack[-1].apart and not holder.apart:
+                if stack[-1].apart != holder.apart:
                     holder = stack[-1]
             parts.append(text)
             unlinked += 0 if stack[-1].linked else len(text)
@@ -176,7 +200,11 @@ def parse(page: str) -> tuple[Counter, list[tuple[str, str, bool, int, int]]]:
             placed.append({})
             opened[tag] += 1
     flush()
-    return tags, blocks
+    around = [b[6] for b in blocks if not b[5]]
+    void = 0
+    while around and all(len(m) > void and m[void] == around[0][void] for m in around):
+        void += 1
+    return tags, [(*b[:5], b[5] or len(b[6]) > void) for b in blocks]
 
 
 def host_of(url: str | None) -> str:
@@ -187,7 +215,7 @@ def host_of(url: str | None) -> str:
 
 _PARSED = (
     "page_id long, url string, host string, tags array<struct<path:string,n:int,level:int>>, "
-    "blocks array<struct<text:string,path:string,apart:boolean,level:int,n:int,free:int>>"
+    "blocks array<struct<text:string,path:string,apart:int,lone:boolean,level:int,n:int,free:int>>"
 )
 
 
@@ -198,13 +226,13 @@ def _parsed(rows: dict[str, list]) -> dict[str, list]:
     for page in rows["html"]:
         tags, blocks = parse(page or "")
         counts, free = Counter((path, text) for text, path, *_ in blocks), Counter()
-        for text, path, _, _, own in blocks:
+        for text, path, _, _, own, _ in blocks:
             free[path, text] += own
         out["tags"].append([{"path": path, "n": n, "level": level} for (path, level), n in tags.items()])
         found = []
-        for text, path, apart, level, _ in blocks:
+        for text, path, apart, level, _, lone in blocks:
             n = counts.pop((path, text), 0)
-            found.append({"text": text, "path": path, "apart": apart, "level": level, "n": n, "free": free[path, text] if n else 0})
+            found.append({"text": text, "path": path, "apart": apart, "lone": lone, "level": level, "n": n, "free": free[path, text] if n else 0})
         out["blocks"].append(found)
     return out
 
@@ -226,9 +254,10 @@ def classes(parsed: DataFrame) -> DataFrame:
     """host, path, token (null for tags), pages, total (occurrences), level, free, all_pages and template of each token
     of parsed pages.
 
-    Tokens of equal occurrence vectors are one class. It is valid with MIN_SUPPORT pages at least, if it has a tag, so
-    that markup comes and goes with its texts, or if it is on half of its host's pages. Texts of valid classes are
-    template; so are tags on half of the pages, if the element that they stand in is, which nests the classes.
+    Tokens of equal occurrence vectors are one class. With MIN_SUPPORT pages at least it is valid if it has a tag, so that
+    markup comes and goes with its texts, on one in SHARE of the pages that have the element around its outermost tag;
+    without a tag, on more than half of its host's pages. Texts of valid classes are template; so are tags on half of the
+    pages, if the element that they stand in is, which nests the classes. What fewer pages have in common is their article's.
     """
     pages = _contents(parsed)
     root = pages.select("host", F.lit("").alias("path"), F.lit(None).cast("long").alias("token"), F.col("doc_id").alias("page"), F.lit(1).alias("n"), F.lit(0).alias("level"), F.lit(0).alias("free"))
@@ -239,15 +268,20 @@ def classes(parsed: DataFrame) -> DataFrame:
     )
     tokens = stored(tokens)
     all_pages = tokens.where("path = '' and token is null").select("host", F.col("pages").alias("all_pages"))
-    several = tokens.where(F.col("pages") >= MIN_SUPPORT).groupBy("host", "vector", "pages").agg(F.bool_or(F.col("token").isNull()).alias("marked"))
+    several = tokens.where(F.col("pages") >= MIN_SUPPORT).groupBy("host", "vector", "pages").agg(F.bool_or(F.col("token").isNull()).alias("marked"), F.min(F.when(F.col("token").isNull(), F.struct(F.size(F.split("path", ">")).alias("depth"), "path")))["path"].alias("outer"))
+    around = tokens.where("token is null").select("host", F.col("path").alias("above"), F.col("pages").alias("group"))
+    several = several.withColumn("above", F.regexp_replace("outer", ">[^>]*$", "")).join(around, ["host", "above"], "left").drop("outer", "above")
     joined = tokens.join(several, ["host", "vector", "pages"], "left").join(all_pages, "host")
     half = F.col("pages") * 2 >= F.col("all_pages")
-    template = F.when(F.col("token").isNull(), half).otherwise(F.col("marked").isNotNull() & (F.col("marked") | (F.col("pages") * 2 > F.col("all_pages"))))
+    group = F.coalesce("group", F.col("all_pages"))
+    share = F.col("marked") & (F.col("pages") * SHARE >= group) & (group * GROUP >= F.col("all_pages"))
+    template = F.when(F.col("token").isNull(), half).otherwise(F.col("marked").isNotNull() & (share | (F.col("pages") * 2 > F.col("all_pages"))))
     return joined.select("host", "path", "token", "pages", "total", "level", "free", "all_pages", template.alias("template"))
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """host, tokens (hashes of template texts) and container: the path of the element that holds the article.
+    """host, tokens (hashes of template texts, null if none; SHARE bounds them) and container (null if none): the path of the
+    element that holds the article. One row for every host.
 
     The container is the innermost element of the template that is there once, has other elements in it and holds
     more than half of the host's unlinked text outside the template; or the article element around that one.
@@ -266,25 +300,29 @@ def templates(parsed: DataFrame) -> DataFrame:
     # Elements of one host are few: those of its template.
     around = elements.where(F.col("level") == 2).join(inner, "host").where("inner = path or startswith(inner, concat(path, '>'))").groupBy("host").agg(F.min_by("path", "depth").alias("article"))
     container = inner.join(around, "host", "left").select("host", F.coalesce("article", "inner").alias("container"))
-    return stored(container.join(texts, "host", "full"))
+    hosts = found.where("path = '' and token is null").select("host")
+    return stored(hosts.join(container, "host", "left").join(texts, "host", "left"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
-    Of a page's blocks those of the template go, and what stands outside the container. Tags, roles and class words
-    decide where that leaves a choice: blocks marked as standing apart go, and blocks of an article stay before others.
-    A page with nothing in the container is judged by the marks alone. A null, empty or text-free page gives an empty
-    text; a null address belongs to the host of pages without one. Pages repeated on a host count as one content, so
-    they don't turn their article into template. Pages of any length are read whole; other columns are not read; an
-    empty table gives no rows.
+    Of a page's blocks those of the template go, and what stands outside the container. Tags, roles and class names decide
+    where that leaves a choice: blocks marked inside the container go, if others stay, and blocks of an article stay before
+    others. A page with nothing in the container, or a host without one, is judged by the marks alone. A null, empty or
+    text-free page gives an empty text; a null address belongs to the host of pages without one. Pages repeated on a host
+    count as one content, so they don't turn their article into template. Pages of any length are read whole; other columns
+    are not read; an empty table gives no rows.
     """
     parsed = stored(map_texts(pages.select("page_id", "url", "html"), _parsed, _PARSED, "html").withColumn("row", F.monotonically_increasing_id()))
-    rows = parsed.join(templates(parsed), "host", "left")
-    data = F.filter("blocks", lambda b: ~b["apart"] & (F.col("tokens").isNull() | ~F.array_contains("tokens", F.xxhash64(b["path"], b["text"]))))
+    rows = dealt_join(parsed, templates(parsed), "host", "row")
+    data = F.filter("blocks", lambda b: F.col("tokens").isNull() | ~F.array_contains("tokens", F.xxhash64(b["path"], b["text"])))
     rows = rows.select("page_id", "url", "container", data.alias("data"))
-    inside = F.filter("data", lambda b: F.col("container").isNull() | (b["path"] == F.col("container")) | b["path"].startswith(F.concat("container", F.lit(">"))))
-    rows = rows.withColumn("inside", inside).withColumn("kept", F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("data")))
+    inside = F.filter("data", lambda b: (b["path"] == F.col("container")) | b["path"].startswith(F.concat("container", F.lit(">"))))
+    rows = rows.withColumn("inside", F.coalesce(inside, F.array())).withColumn("deep", F.size(F.split("container", ">")) - 1)
+    rows = rows.withColumn("plain", F.filter("inside", lambda b: b["apart"] <= F.col("deep")))
+    alone = F.filter("data", lambda b: ~b["lone"])
+    rows = rows.withColumn("kept", F.when(F.size("plain") > 0, F.col("plain")).when(F.size("inside") > 0, F.col("inside")).otherwise(alone))
     best = F.array_max("kept.level")
     text = F.array_join(F.transform(F.filter("kept", lambda b: b["level"] == best), lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

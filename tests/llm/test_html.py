@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import product
 
 import pytest
 
@@ -105,3 +106,41 @@ def test_hosts():
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+WRAPPERS = ["class='layout no-sidebar'", "class='post has-comments'", "class='header-fixed page'", "class='article-related-none'", "class='layout'", "class='sidebar'", "class='widget comments-list'"]
+
+
+def test_marks_around_the_article_count_for_nothing(spark):
+    rng = random.Random(1)
+    word = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=n)) + f" {rng.random()}"
+    page = "<body><nav><a href=x>Home</a></nav><{t} {a}><{i}><p>{x[0]}</p><p>{x[1]} <span class='ad'>Buy</span></p><div class='comments-list'><p>First! {n}</p></div></{i}></{t}><footer>Imprint</footer></body>"
+    rows, want = [], {}
+    for k, (inner, pages, (tag, attributes)) in enumerate(product(("article", "section"), (1, 8), [("form", "id='aspnetForm'"), *(("div", w) for w in WRAPPERS)])):
+        for n in range(pages):
+            x = [word(20), word(9)]
+            want[100 * k + n] = "\n".join(x)
+            rows.append((100 * k + n, f"http://h{k}.example.org/{n}", page.format(t=tag, a=attributes, i=inner, x=x, n=n), "", 0))
+    got = frame(spark, rows)
+    assert {n: got[n].text for n in want} == want
+
+
+def test_paragraphs_of_few_pages_stay(spark):
+    rng = random.Random(2)
+    word = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=n)) + f" {rng.random()}"
+    shared = "<table><tr><td>Year</td><td>Sum</td></tr></table><p>All three have this paragraph in common.</p>"
+    texts = [(word(20), word(15)) for _ in range(40)]
+    rows = [(n, f"http://w.example.org/{n}", f"<body><nav>Home</nav><article><p>{a}</p>{shared if n < 3 else ''}<p>{b}</p></article></body>", "", 0) for n, (a, b) in enumerate(texts)]
+    got = frame(spark, rows)
+    for n, (a, b) in enumerate(texts):
+        assert got[n].text == "\n".join([a, "Year", "Sum", "All three have this paragraph in common.", b] if n < 3 else [a, b])
+
+
+def test_deep_names_keep_their_container(spark):
+    rng = random.Random(5)
+    word = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=n)) + f" {rng.random()}"
+    texts = [word(30) for _ in range(9)]
+    open_, close = "".join(f"<div class='flex items-center justify-between padding{k}'>" for k in range(20)), "</div>" * 20
+    rows = [(n, f"http://w.example.org/{n}", f"<body><div class='promo'><p>{word(3)}</p></div><div>{word(4)}</div>{open_}<p>{x}</p><b>More</b>{close}</body>", "", 0) for n, x in enumerate(texts)]
+    got = frame(spark, rows)
+    assert [got[n].text for n in range(9)] == texts
