@@ -41,6 +41,15 @@ UNITS = set(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent usd eur gbp dollar dollars euro euros cent cents "
     "k c f kb mb gb tb w kw kwh v a hz khz mhz ghz pa kpa j kj cal kcal mph kmh km/h m/s degrees degree".split()
 )
+# Words that are no names though they often begin a sentence.
+OPENERS = set(
+    "a about above after again all also although always an and another any anyone are as at because been before below beside besides between both but by can could "
+    "did do does during each either even every everyone except few finally find first for from give given had has have he hence her here hers his how however i if in "
+    "instead into is it its just last later let many more most much my neither never next no nobody none nor not nothing now of off often on once one only or other our "
+    "over perhaps please several she should show since so some someone sometimes soon still such suppose than that the their them then there therefore these they this "
+    "those though three through thus to today together tomorrow too two under unless until up upon us use was we were what whatever when whenever where whereas which "
+    "while who whoever whom whose why with within without would write yesterday yet you your".split()
+)
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|[a-zA-Z]{1,3})?$")
 _SIGNS = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _LITERAL, _NAME, _NUM = 0, 1, 2
@@ -63,19 +72,17 @@ class _Vocabulary(dict):
         bare = _SIGNS.sub("", word)
         small = bare.lower()
         number = bool(_NUMBER.match(bare))
-        name = not number and len(bare) > 1 and bare[0].isupper() and any(c.islower() for c in bare[1:])
-        first = _NUM if number else _LITERAL
-        later = _NUM if number else _NAME if name else _LITERAL
-        ends = word.rstrip("\"')]»”")[-1:] in ".!?:"
+        name = not number and len(bare) > 1 and bare[0].isupper() and any(c.islower() for c in bare[1:]) and small not in OPENERS
+        pause = word.rstrip("\"')]»”")[-1:] in ".!?:" or word[-1:] in ",;"
         self.hashes.append(xxhash.xxh64_intdigest(small.encode()))
-        self.flags.append(first | later << 2 | ends << 4 | (small in UNITS) << 5 | bool(small) << 6 | (ends or word[-1:] in ",;") << 7)
+        self.flags.append((_NUM if number else _NAME if name else _LITERAL) | (small in UNITS) << 2 | bool(small) << 3 | pause << 4)
         self[word] = n = len(self.flags) - 1
         return n
 
     def columns(self) -> tuple:
-        """Hash, kind at the start of a sentence and elsewhere, whether a sentence ends, unit, not only signs, pause."""
+        """Hash, kind, whether a unit, whether not only signs, whether a pause follows."""
         flags = np.array(self.flags, np.uint8)
-        return np.array(self.hashes, np.uint64), flags & 3, flags >> 2 & 3, (flags >> 4 & 1).astype(bool), (flags >> 5 & 1).astype(bool), (flags >> 6 & 1).astype(bool), (flags >> 7).astype(bool)
+        return np.array(self.hashes, np.uint64), flags & 3, (flags >> 2 & 1).astype(bool), (flags >> 3 & 1).astype(bool), (flags >> 4).astype(bool)
 
 
 @lru_cache(maxsize=1)
@@ -89,22 +96,21 @@ _STEP = np.uint64(0x9FB21C651E98DF25)
 
 def template(texts: list[str | None]) -> list[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each text its words and their hashes, the places of its template words, their hashes and whether each is a
-    slot. Words of signs only are left out. A capitalised word is a name unless it begins the text or follows the end
-    of a sentence. Name words in a row are one slot, and so are numbers and units, up to a pause."""
+    slot. Words of signs only are left out. A capitalised word is a name wherever it stands, but for OPENERS: so a name is
+    a slot at the start of a sentence too, and what stands before a question in a text doesn't matter. Name words in a
+    row are one slot, and so are numbers and units, up to a pause."""
     vocab = _vocabulary()
     if len(vocab) > VOCABULARY_LIMIT:
         vocab.empty()
     split = [(t or "").split() for t in texts]
     numbers = [np.fromiter(map(vocab.__getitem__, words), np.int64, len(words)) for words in split]
     out = []
-    hashes, first, later, ends, unit, kept, pause = vocab.columns()
+    hashes, kind, unit, kept, pause = vocab.columns()
     for words, n in zip(split, numbers, strict=True):
         if len(n) and not (keep := kept[n]).all():
             at = np.flatnonzero(keep)
-            words, starts, n = [words[i] for i in at], np.append(True, ends[n][:-1])[at], n[at]
-        else:
-            starts = np.append(True, ends[n][:-1]) if len(n) else np.zeros(0, bool)
-        kinds = np.where(starts, first[n], later[n])
+            words, n = [words[i] for i in at], n[at]
+        kinds = kind[n]
         after = np.append(False, kinds[:-1] == _NUM) if len(n) else np.zeros(0, bool)
         kinds = np.where(unit[n] & after, _NUM, kinds)
         own = hashes[n]
@@ -133,6 +139,21 @@ def _slots(words: list[str], places: np.ndarray, slot: np.ndarray, at: int, widt
     return ["".join(_SIGNS.sub("", w).lower() for w in words[places[i] : places[i + 1]]) for i in range(at, at + width) if slot[i]]
 
 
+def _edges(own: list[str], first: bool, last: bool) -> list[str]:
+    """An item's fillers; those of a slot that begins or ends the item are marked, as a name before or after the item in a
+    document belongs to the same slot there."""
+    own = [f"<{own[0]}", *own[1:]] if first else own
+    return [*own[:-1], f"{own[-1]}>"] if last else own
+
+
+def _edges_fit(table: dict[str, str]) -> bool:
+    return all(y.endswith(table.get(x[1:], "")) if x[:1] == "<" else y.startswith(table.get(x[:-1], "")) if x[-1:] == ">" else True for x, y in table.items())
+
+
+def _as_in_item(table: dict[str, str]) -> bool:
+    return all(y.endswith(x[1:]) if x[:1] == "<" else y.startswith(x[:-1]) if x[-1:] == ">" else x == y for x, y in table.items())
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, pos, width, h, slots, total (windows kept of the item), words (that those have), least (coverage that an
     occurrence must have at least) and verbatim (windows of plain words, as the template has too few of them)."""
@@ -153,7 +174,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 kept, least, slot = list(range(len(found))), 0.0, np.zeros(len(words), bool)
             held = len({i + k for i in kept for k in range(width)})
             for i in kept:
-                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _slots(words, places, slot, i, width), len(kept), held, least, verbatim), strict=True):
+                for k, v in zip(out, (item, i, width, int(found[i].view(np.int64)), _edges(_slots(words, places, slot, i, width), not i and slot[0], i == len(found) - 1 and slot[-1]), len(kept), held, least, verbatim), strict=True):
                     out[k].append(v)
         return out
 
@@ -228,8 +249,8 @@ def occurrence(hits: list[dict], width: int, total: int, words: int, min_coverag
                     most = (pos | own[0], held | own[1], both)
         chains.append((block, most))
         coverage = min(1.0, max(len(most[0]) / total, (len(most[1]) - width + 1) / (words - width + 1)))
-        if coverage >= min_coverage:
-            same = all(x == y for x, y in most[2].items())
+        if coverage >= min_coverage and _edges_fit(most[2]):
+            same = _as_in_item(most[2])
             best = (max(coverage, best[0]), same or best[1]) if best else (coverage, same)
     return best
 
