@@ -25,6 +25,8 @@ from .common import bitmap, dealt_join, map_texts, maybe_in, stored
 #: around it, which in turn one in GROUP of the host's pages has: then a host's template texts are at most SHARE * GROUP
 #: times the mean number of texts on its pages, however many pages it has.
 MIN_SUPPORT, SHARE, GROUP = 3, 3, 10
+#: Templates of at most this size are broadcast.
+BROADCAST_BYTES = 4 << 20
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<(?:[!?/])[^>]*(?:>|\Z)""",
@@ -315,7 +317,10 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read; an empty table gives no rows.
     """
     parsed = stored(map_texts(pages.select("page_id", "url", "html"), _parsed, _PARSED, "html").withColumn("row", F.monotonically_increasing_id()))
-    rows = dealt_join(parsed, templates(parsed), "host", "row")
+    found = templates(parsed)
+    size = found.agg(F.sum(100 + F.length("host") + F.coalesce(F.length("container"), F.lit(0)) + 8 * F.greatest(F.size("tokens"), F.lit(0)))).first()[0] or 0
+    # Templates of so few hosts go to the pages; else pages and templates meet by host, a large host's in several tasks.
+    rows = parsed.join(F.broadcast(found), "host") if size <= BROADCAST_BYTES else dealt_join(parsed, found, "host", "row")
     data = F.filter("blocks", lambda b: F.col("tokens").isNull() | ~F.array_contains("tokens", F.xxhash64(b["path"], b["text"])))
     rows = rows.select("page_id", "url", "container", data.alias("data"))
     inside = F.filter("data", lambda b: (b["path"] == F.col("container")) | b["path"].startswith(F.concat("container", F.lit(">"))))

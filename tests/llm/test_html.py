@@ -136,7 +136,7 @@ def test_paragraphs_of_few_pages_stay(spark):
         assert got[n].text == "\n".join([a, "Year", "Sum", "All three have this paragraph in common.", b] if n < 3 else [a, b])
 
 
-def test_deep_names_keep_their_container(spark):
+def test_deep_names_keep_their_container(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda n: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=n)) + f" {rng.random()}"
     texts = [word(30) for _ in range(9)]
@@ -144,3 +144,6 @@ def test_deep_names_keep_their_container(spark):
     rows = [(n, f"http://w.example.org/{n}", f"<body><div class='promo'><p>{word(3)}</p></div><div>{word(4)}</div>{open_}<p>{x}</p><b>More</b>{close}</body>", "", 0) for n, x in enumerate(texts)]
     got = frame(spark, rows)
     assert [got[n].text for n in range(9)] == texts
+    monkeypatch.setattr("sourcewell.llm.html_text.BROADCAST_BYTES", 0)
+    got = frame(spark, rows)
+    assert [got[n].text for n in range(9)] == texts
