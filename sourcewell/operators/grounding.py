@@ -19,25 +19,18 @@ def claim_overlap(claims: DataFrame, units: DataFrame, threshold: float = MIN_OV
     """claim_id, unit_id, shared, overlap, agrees: pairs whose units hold at least that share of the claim's terms; with
     `by`, columns of both tables, only pairs that are equal in them.
 
-    An exact prefix filter: a claim of n terms that shares k = ceil(threshold * n) with a unit has one of its
-    n - k + 1 rarest terms in it. Only those are joined, then the true share is computed for the pairs that are left.
+    A unit's terms are made once. Those that some claim has meet the claims' terms, and a pair's shared terms are
+    counted as they are met, in parts before the shuffle; no list of terms is stored or sent with a pair.
     """
     mine, theirs = term_sets or (t.terms("claim_text"), t.terms("text"))
     keys = [*by, "term"]
     c = claims.select(*by, "claim_id", mine.alias("terms"), t.has_negation("claim_text").alias("negative")).where(F.size("terms") > 0)
-    u = units.select(*by, "unit_id", theirs.alias("unit_terms"), t.has_negation("text").alias("unit_negative"))
-    u_terms = u.select(*by, "unit_id", F.explode("unit_terms").alias("term"))
-    # Only terms that claims have can join; there are few of those, and Spark filters the units' terms before the shuffle.
-    wanted = c.select(*by, F.explode("terms").alias("term")).distinct()
-    counts = u_terms.join(wanted, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
-    each = c.select(*by, "claim_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(counts, keys, "left")
-    # A term that no unit has is the rarest of all and joins nothing; it takes a place in the prefix.
-    place = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
-    prefix = each.withColumn("place", place).where(F.col("df").isNotNull() & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1))
-    pairs = prefix.select(*keys, "claim_id").join(u_terms, keys).select("claim_id", "unit_id").distinct()
-    full = pairs.join(c.drop(*by), "claim_id").join(u.drop(*by), "unit_id")
-    shared = F.size(F.array_intersect("terms", "unit_terms"))
-    return full.select("claim_id", "unit_id", shared.alias("shared"), (shared / F.size("terms")).alias("overlap"), (F.col("negative") == F.col("unit_negative")).alias("agrees")).where(F.col("overlap") >= threshold)
+    each = c.select(*by, "claim_id", "negative", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    # Terms and negation are made below the generator, once a unit.
+    u = units.select(*by, "unit_id", t.has_negation("text").alias("unit_negative"), theirs.alias("unit_terms"))
+    u = u.select(*by, "unit_id", "unit_negative", F.explode("unit_terms").alias("term"))
+    pairs = u.join(each, keys).groupBy("claim_id", "unit_id", "n", "negative", "unit_negative").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    return pairs.select("claim_id", "unit_id", "shared", (F.col("shared") / F.col("n")).alias("overlap"), (F.col("negative") == F.col("unit_negative")).alias("agrees")).where(F.col("overlap") >= threshold)
 
 
 def linked_units(claims: DataFrame, links: DataFrame, units: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import automaton
 from ..functions import constants as k
 from ..functions import text as t
 from .collect import blank, top_by
@@ -65,9 +66,15 @@ def run_warnings(coverage: DataFrame) -> DataFrame:
 
 
 def term_sources(sources: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
-    """run_id, term and the source's columns for each source of a run whose text holds one of the run's terms."""
-    rows = sources.withColumn("__text", F.lower(text)).join(terms.select("run_id", "term"), "run_id")
-    return rows.where(F.contains(F.col("__text"), F.lower("term"))).drop("__text")
+    """run_id, term and the source's columns for each source of a run whose text holds one of the run's terms, in any case.
+
+    Each text is scanned once, and only its hits meet the run's terms; empty terms are in no text.
+    """
+    rows = sources.withColumn("__text", F.lower(text))
+    wanted = terms.select("run_id", "term", F.lower("term").alias("__hit")).distinct()
+    found = automaton.with_counts(rows, automaton.term_blocks(wanted, "__hit"), ["__text"])
+    hits = found.select(*sources.columns, F.explode("found.term").alias("__hit"))
+    return hits.join(wanted, ["run_id", "__hit"]).drop("__hit")
 
 
 def signal_rows(sources: DataFrame, terms: DataFrame, positive: tuple[str, ...] = k.POSITIVE_WORDS, risk: tuple[str, ...] = k.RISK_WORDS) -> DataFrame:

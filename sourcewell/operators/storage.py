@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where a local master leaves it unset, a new one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_sourcewell_tables", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = spark._sourcewell_tables = tempfile.mkdtemp(prefix="spark-")
+    return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what several steps use is made once, and lost executors don't matter."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert_snapshot(base: DataFrame, delta: DataFrame, keys: list[str], modified: str = "last_modify_ts", added: str = "add_ts") -> DataFrame:
     """base after writing delta's rows over it by key: the row modified last wins (delta's among equals), its add time
     is the earliest of the key and its modification time the latest. A key that occurs once stays as it is."""
