@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import automaton
 from ..functions import constants as k
+from ..functions import segment
 from ..functions import text as t
 from .collect import blank, top_by
 
@@ -18,8 +19,17 @@ def keywords(texts: DataFrame, n: int = 12, stop_words: tuple[str, ...] = k.STOP
     return top_by(kept, list(by), [F.col("n").desc(), F.col("word")], n)
 
 
-def word_frequency(texts: DataFrame, n: int = 20, stop_words: tuple[str, ...] = k.STOP_WORDS, pattern: str | None = None, tokenizer=None) -> DataFrame:
-    """word, n: the n most frequent words of column text; tokenizer may be a pandas UDF that returns arrays."""
+def word_frequency(texts: DataFrame, n: int = 20, stop_words: tuple[str, ...] = k.STOP_WORDS, pattern: str | None = None, tokenizer=None, lexicon: DataFrame | None = None, custom: dict | None = None) -> DataFrame:
+    """word, n: the n most frequent words of column text; tokenizer may be a pandas UDF that returns arrays.
+
+    With a lexicon (word, freq), runs of Chinese characters are cut into its words, custom ones (word: frequency, or None
+    to keep the word whole) included, and characters alone are words too.
+    """
+    if lexicon is not None:
+        latin = texts.select(F.explode(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z0-9][A-Za-z0-9+\-_.]*"), F.lit(0)), F.lower)).alias("word")).where(F.length("word") > 1)
+        cut = segment.segmented(segment.runs(texts), lexicon, custom).select(F.explode("words").alias("word"), "n")
+        counts = latin.groupBy("word").agg(F.count(F.lit(1)).alias("n")).unionByName(cut).where(~F.col("word").isin(*stop_words))
+        return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(n)
     found = tokenizer("text") if tokenizer else F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(pattern), F.lit(0)) if pattern else F.transform(t.tokens("text"), F.lower)
     words = texts.select(F.explode(found).alias("word")).where((F.length("word") > 1) & ~F.col("word").isin(*stop_words))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as cit
+from ..functions import segment
 from ..functions import text as t
 from ..functions import urls
 from ..operators import collect, coverage, decision, evidence, grounding, report
@@ -155,6 +156,44 @@ def word_frequency(spark, sf):
     return report.word_frequency(v.comments(spark, sf), stop_words=v.STOP)
 
 
+# Latin letters as Chinese characters make runs of them from the tables' words; the benchmark's groups are the lexicon.
+_LETTERS, _CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这为之大来以个中上们到说国和地也"
+_CUSTOM = {"之们": 40, "大在之": 30}
+_RUNS = f"unnest(regexp_extract_all(translate(lower(text), '{_LETTERS}', '{_CHARACTERS}'), '[一-鿿]+'))"
+_SCORE = "cast(round(1000000 * (ln(freq) - ln(total))) as bigint)"
+_CUSTOM_ROWS = ", ".join(f"('{w}', {f})" for w, f in _CUSTOM.items())
+_PATHS = f"""lr as (select {_RUNS} as run from benchmark), lw as (select substr(run, i, l) as word from lr, unnest(range(1, length(run) + 1)) a(i), unnest(range(1, 5)) b(l) where i + l <= length(run) + 1),
+own as (select * from (values {_CUSTOM_ROWS}) t(word, freq)), counted as (select word, count(*) as freq from lw group by 1 having count(*) >= 3),
+tot as (select sum(freq) + (select sum(freq) from own) as total from counted),
+lex as materialized (select word, {_SCORE} as s from (select * from own union all select * from counted where word not in (select word from own)), tot),
+unk as (select cast(round(-1000000 * ln(total)) as bigint) as u from tot), runs as materialized (select run, count(*) as n from (select {_RUNS} as run from conversations where role = 'user') group by 1),
+steps as materialized (select run, i, list({{'l': l, 's': coalesce(s, u)}}) as ways from (select run, i, l, substr(run, i, l) as word from runs, unnest(range(1, length(run) + 1)) a(i), unnest(range(1, 5)) b(l) where i + l <= length(run) + 1) g cross join unk left join lex using (word) where s is not null or l = 1 group by 1, 2),
+back as (select run, length(run) + 1 as i, [cast(0 as bigint)] as best, cast([] as bigint[]) as lens from runs union all
+  select run, i, list_prepend(top.s, best), list_prepend(top.l, lens) from (select b.run, s.i, best, lens, list_sort([{{'s': w.s + best[w.l], 'l': w.l}} for w in ways])[-1] as top from back b join steps s on s.run = b.run and s.i = b.i - 1)),
+cuts as (select run, 1 as i, lens, cast([] as varchar[]) as words from back where i = 1 union all
+  select run, i + lens[i], lens, list_append(words, substr(run, i, lens[i])) from cuts where i <= len(lens)),
+paths as materialized (select run, n, words from cuts join runs using (run) where i > len(lens))"""
+
+
+def _chinese(spark, sf):
+    made = F.translate(F.lower("text"), _LETTERS, _CHARACTERS)
+    said = v.table(spark, sf, "conversations").where("role = 'user'").select(made.alias("text"))
+    return said, segment.lexicon_of(v.table(spark, sf, "benchmark").select(made.alias("text")), min_count=3)
+
+
+@query(f"with recursive {_PATHS} select run, n, array_to_string(words, '/') as words from paths")
+def segmented_runs(spark, sf):
+    said, lexicon = _chinese(spark, sf)
+    return segment.segmented(segment.runs(said), lexicon, _CUSTOM).withColumn("words", F.array_join("words", "/"))
+
+
+@query(f"with recursive {_PATHS} select word, cast(sum(n) as bigint) as n from (select unnest(words) as word, n from paths) where word not in ('的', '了') group by 1 order by n desc, word limit 30")
+def chinese_word_frequency(spark, sf):
+    said, lexicon = _chinese(spark, sf)
+    only = said.withColumn("text", F.regexp_replace("text", r"[^一-鿿]+", " "))
+    return report.word_frequency(only, 30, ("的", "了"), lexicon=lexicon, custom=_CUSTOM)
+
+
 _COVER = f"""{v.SRC}, {v.LOGS}, cover as (select run_id, count(*) as sources, sum(n_comments) as comments, count(distinct platform) as platforms, count(*) filter (where citation_count > 0) as cited,
   count(*) filter (where n_comments > 0) as with_comments, count(*) filter (where coalesce(transcript, '') <> '') as with_transcripts from src group by 1),
 lr as (select run_id, count(*) as provider_runs, count(*) filter (where ok) as runs_ok, count(*) filter (where not ok) as runs_failed from logs group by 1),
