@@ -46,6 +46,53 @@ def upsert_fields(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFra
     return b.join(d, keys, "full").select(*keys, *(pick(c).alias(c) for c in columns))
 
 
+def write_deltas(delta: DataFrame, path: str, keys: list[str], epoch: int, buckets: int = 64) -> None:
+    """Add a batch to a keyed table that is kept as deltas: its rows go to their keys' buckets, one folder an epoch.
+
+    Nothing else is read or written, and an epoch that is written again replaces its own folders, so a repeated batch
+    changes nothing. Folders have even numbers; odd ones are those that compact() has merged, which no batch replaces. The
+    number of buckets must stay as it is.
+    """
+    rows = delta.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("epoch", F.lit(2 * epoch).cast("long"))
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
+
+
+def _merged(rows: DataFrame, keys: list[str], modified: str, added: str, also: tuple[str, ...] = ()) -> DataFrame:
+    columns = [c for c in rows.columns if c not in (*keys, *also, "epoch", "bucket")]
+    # Of equal times the later epoch wins; in one epoch the greatest row, so that the result doesn't depend on order.
+    value, order = F.struct(*columns), F.struct(modified, "epoch", F.to_json(F.struct(*columns)))
+    agg = rows.groupBy(*also, *keys).agg(F.max_by(value, order).alias("v"), F.min(added).alias("__added"), F.max(modified).alias("__modified"))
+    out = {added: F.col("__added"), modified: F.col("__modified")}
+    return agg.select(*also, *keys, *(out.get(c, F.col(f"v.`{c}`")).alias(c) for c in columns))
+
+
+def read_keyed(spark: SparkSession, path: str, keys: list[str], modified: str = "last_modify_ts", added: str = "add_ts") -> DataFrame:
+    """The keyed table of all epochs, merged as it is read: the row modified last, with the key's earliest add time."""
+    return _merged(spark.read.parquet(path), keys, modified, added)
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], most: int = 8, modified: str = "last_modify_ts", added: str = "add_ts") -> int:
+    """Merge the epochs of each bucket that has more than `most`; returns the number of buckets merged.
+
+    The merged rows are written next to the newest epoch before the others are removed. A reader or a failure in between
+    meets rows twice, which merge to the same table; so does a batch that comes again. Other buckets aren't touched.
+    """
+    rows = spark.read.parquet(path)
+    epochs = rows.select("bucket", "epoch").distinct().groupBy("bucket").agg(F.sort_array(F.collect_list("epoch")).alias("epochs")).where(F.size("epochs") > most)
+    touched = {r.bucket: r.epochs for r in epochs.collect()}  # a row for each bucket at most
+    if not touched:
+        return 0
+    newest = F.create_map(*(F.lit(x) for b, e in touched.items() for x in (b, e[-1] | 1)))
+    merged = written(_merged(rows.where(F.col("bucket").isin(*touched)), keys, modified, added, ("bucket",)).withColumn("epoch", newest[F.col("bucket")]))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for bucket, old in touched.items():
+        for epoch in set(old) - {old[-1] | 1}:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}/epoch={epoch}"), True)
+    return len(touched)
+
+
 def payload_rows(df: DataFrame, kind: str, schema_version: int = 1) -> DataFrame:
     """Snapshot rows of a table: schema version, kind, payload (JSON of each row) and its hash."""
     payload = F.to_json(F.struct(*sorted(df.columns)))

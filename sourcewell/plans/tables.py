@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.times import in_days
@@ -60,11 +62,11 @@ def daily_cap(spark, sf):
     return collect.daily_cap(v.post(spark, sf), 2, 500).select("keyword", "post_id", "of_day", "of_all")
 
 
-@query("select distinct l_suppkey as up_id, l_partkey as fan_id from lineitem where l_linenumber = 1 union select distinct l_partkey, l_suppkey from lineitem where l_linenumber = 2")
+@query("select distinct l_suppkey as up_id, l_partkey as fan_id from lineitem where l_linenumber % 2 = 1 union select distinct l_partkey, l_suppkey from lineitem where l_linenumber % 2 = 0")
 def contact_edges(spark, sf):
     line = v.table(spark, sf, "lineitem")
-    one = line.where("l_linenumber = 1").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("contact_id"))
-    two = line.where("l_linenumber = 2").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("contact_id"))
+    one = line.where("l_linenumber % 2 = 1").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("contact_id"))
+    two = line.where("l_linenumber % 2 = 0").select(F.col("l_suppkey").alias("creator_id"), F.col("l_partkey").alias("contact_id"))
     return collect.contact_edges(one, two)
 
 
@@ -111,9 +113,33 @@ def provider_activity(spark, sf):
     return runs.provider_activity(rows)
 
 
-@query(f"with {v.RUNLOG}, r as (select run_id, bool_or(type in ('final_report', 'error')) as ended, epoch(min(ts) filter (where type = 'sources')) - epoch(min(ts)) as wait from runlog group by 1) select count(*) as runs, round(avg(cast(ended as integer)), 6) as ended_share, round(avg(wait), 3) as mean_wait from r")
+@query(
+    f"""with {v.RUNLOG}, r as (select run_id, bool_or(type in ('final_report', 'error')) as ended, epoch(min(ts) filter (where type = 'sources')) - epoch(min(ts)) as wait from runlog group by 1),
+found as (select conv_id % 50 as run_id, count(*) >= 60 as enough from conversations group by 1)
+select count(*) as runs, round(avg(cast(ended as integer)), 6) as ended_share, round(avg(wait), 3) as mean_wait, (select round(avg(cast(enough as integer)), 6) from found) as citable_share,
+  (select round(avg(cast(l.doc_id is not null as integer)), 6) from documents d left join labels l on l.doc_id = d.doc_id) as resolved_share from r"""
+)
 def exit_metrics(spark, sf):
-    return runs.exit_metrics(_log(spark, sf))
+    """Conversations as sources of fifty runs; documents as citations of those that have labels."""
+    sources = v.table(spark, sf, "conversations").select((F.col("conv_id") % 50).alias("run_id"))
+    labels = v.table(spark, sf, "labels").select("doc_id", F.col("doc_id").alias("unit_id"))
+    return runs.exit_metrics(_log(spark, sf), sources, v.table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left"), 60)
+
+
+@query(
+    """with d as (select o_custkey as id, o_orderkey as note, o_orderdate as ts, o_orderkey % 3 as epoch from orders)
+select id, arg_max(note, (ts, epoch, note)) as note, min(ts) as add_ts, max(ts) as last_modify_ts from d group by 1"""
+)
+def keyed_deltas(spark, sf):
+    """Orders as three batches of changes to customers, one of them written twice, merged in part and read by key."""
+    path = f"{storage.shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    # Notes of one length, so that the greatest row of an epoch is the one with the greatest number.
+    rows = v.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("note"), F.col("o_orderdate").alias("add_ts"), F.col("o_orderdate").alias("last_modify_ts"), (F.col("o_orderkey") % 3).alias("batch"))
+    for epoch in (0, 1, 1, 2):
+        storage.write_deltas(rows.where(F.col("batch") == epoch).drop("batch"), path, ["id"], epoch, 16)
+        if epoch == 1:
+            storage.compact(spark, path, ["id"], most=1)
+    return storage.read_keyed(spark, path, ["id"]).withColumn("note", F.col("note").cast("bigint"))
 
 
 @query(f"with {v.RUNLOG}, s as (select run_id, type as section_id, sequence, sequence % 7 = 0 as complete, message as text from runlog), f as (select *, max(case when complete then sequence end) over (partition by run_id, section_id) as fr from s) select run_id, section_id, string_agg(text, '' order by sequence) as text from f where sequence >= coalesce(fr, 0) group by 1, 2")

@@ -124,3 +124,14 @@ def upsert_stream(deltas: DataFrame, read_base: Callable[[SparkSession], DataFra
         write(upsert_snapshot(read_base(batch.sparkSession), batch, keys))
 
     return deltas.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def delta_stream(deltas: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64):
+    """Write each micro-batch as one epoch of a keyed table of deltas: work grows with the batch, not with the table, and a
+    batch that comes again after a failure changes nothing. storage.read_keyed() reads it, storage.compact() tidies up."""
+    from ..operators.storage import write_deltas
+
+    def one(batch: DataFrame, epoch: int) -> None:
+        write_deltas(batch, path, keys, epoch, buckets)
+
+    return deltas.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
