@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as k
 from ..functions import text as t
-from ..operators import collect, coverage, decision, drafts, grounding, planner, report, responses, search
+from ..operators import collect, coverage, decision, drafts, grounding, planner, report, responses, search, storage
 from . import research as r
 from . import views as v
 
@@ -358,8 +358,7 @@ def report_records(spark, sf):
     """Records are written, some of them again, and opened by run."""
     import uuid
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where.rstrip('/')}/records-{uuid.uuid4().hex}"
+    path = f"{storage.shared_dir(spark)}/records-{uuid.uuid4().hex}"
     lines = conclusion_lines(spark, sf)
     drafts.save_records(lines, path)
     drafts.save_records(lines.where("run_id >= 5").withColumn("terms", F.lit("second")), path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as k
 from ..functions import text as t
 from ..functions import times, urls
-from ..operators import collect, coverage, evidence, grounding, report, responses, storage
+from ..operators import collect, coverage, evidence, grounding, normalize, report, responses, storage
 from ..sources import io
 from ..streaming import runs
 from . import research as r
@@ -36,8 +36,7 @@ _SQUEEZED = r"regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', '
 
 
 def _shared(spark, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{storage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- functions -------------------------------------------------------------------------------------------------------
@@ -294,3 +293,46 @@ def saved_formats(spark, sf):
         reader = spark.read.schema(schema).option("header", True).format("json" if kind == "jsonl" else kind)
         out.append(io.find(reader.load(path), {"half": 0}).select(F.lit(kind).alias("kind"), "o_orderkey", "o_orderpriority"))
     return reduce(DataFrame.unionByName, out)
+
+
+# ---- records within records ------------------------------------------------------------------------------------------
+
+
+@query("select conv_id as post_id, cast(turn as varchar) as comment_id, text from conversations")
+def nested_comments(spark, sf):
+    """Each conversation is one comment record with all later turns as its replies: a reply comes out for each of them."""
+    turn = F.struct(F.col("turn").alias("id"), "text")
+    turns = v.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("post_id")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    record = F.to_json(F.struct(F.get("t", F.lit(0))["id"].alias("id"), F.get("t", F.lit(0))["text"].alias("text"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("comments")))
+    found = normalize.nested_comments(turns.select("post_id", record.alias("payload")))
+    return found.select("post_id", F.get_json_object("payload", "$.id").alias("comment_id"), F.get_json_object("payload", "$.text").alias("text"))
+
+
+@query("select cast(doc_id as varchar) as note_id, text from documents where doc_id % 4 <> 3")
+def search_cards(spark, sf):
+    """Documents as search cards: posts at the top, posts in groups of none to two next to other cards, and cards that are no posts."""
+    d = v.table(spark, sf, "documents").select("doc_id", "text")
+    post = lambda kind: F.to_json(F.struct(F.lit(kind).alias("card_type"), F.struct(F.col("doc_id").cast("string").alias("id"), "text").alias("mblog")))
+    ad = F.to_json(F.struct(F.lit(4).alias("card_type")))
+    top = d.where("doc_id % 4 in (0, 3)").select(F.when(F.col("doc_id") % 4 == 0, post(9)).otherwise(post(3)).alias("payload"))
+    grouped = d.where("doc_id % 4 in (1, 2)").groupBy(F.floor(F.col("doc_id") / 4)).agg(F.collect_list(post(9)).alias("cards"))
+    group = grouped.select(F.concat(F.lit('{"card_type":11,"card_group":['), F.array_join(F.concat(F.array(ad), F.col("cards")), ","), F.lit("]}")).alias("payload"))
+    none = d.where("doc_id % 4 = 3").select(F.lit('{"card_type":11,"card_group":[]}').alias("payload"))
+    found = normalize.weibo_cards(top.unionByName(group).unionByName(none))
+    return found.select(F.get_json_object("payload", "$.mblog.id").alias("note_id"), F.get_json_object("payload", "$.mblog.text").alias("text"))
+
+
+@query("select doc_id as note_id, case when doc_id % 4 = 0 then text else substr(text, 1, 40) end as content from documents")
+def long_text_overlay(spark, sf):
+    """Posts that were cut at forty characters, a quarter of them with their full text from a second request."""
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    posts = d.select("note_id", F.substring("text", 1, 40).alias("content"))
+    return normalize.overlay_long_text(posts, d.where("note_id % 4 = 0").withColumnRenamed("text", "content"))
+
+
+@query("select o_orderpriority as keyword, count(*) as n from orders where o_orderdate >= (select max(o_orderdate) from orders) - interval 180 days group by 1")
+def recent_posts(spark, sf):
+    """Posts of the last 180 days before the latest one."""
+    p = v.post(spark, sf)
+    latest = p.agg(F.max("o_orderdate").alias("latest"))  # one row
+    return p.join(F.broadcast(latest)).where(times.recent("o_orderdate", F.col("latest"), 180)).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
