@@ -97,6 +97,9 @@ def source_signal(zh: bool = False) -> Column:
     return F.concat(*parts)
 
 
+# fixed values: the sentences of the four functions below, as reports have them
+
+
 def platform_sentence(sources: DataFrame) -> DataFrame:
     """run_id, sentence: a run's platforms with their numbers of sources, most first; ties in report order."""
     n = sources.groupBy("run_id", "platform").agg(F.count(F.lit(1)).alias("n"))
@@ -136,6 +139,7 @@ def sentence_chunks(x: str | Column, most: int = SENTENCE_CHARACTERS) -> Column:
 
 
 # ---- decision texts --------------------------------------------------------------------------------------------------
+# fixed values: hints, conclusions and the need's summary in both languages, as reports have them
 
 
 def scenario_terms(x: str | Column, most: int = 3) -> Column:
