@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import in_days
 from ..operators import collect, storage
-from ..streaming import runs
+from ..streaming import handover, runs
 from . import views as v
 
 QUERIES, SQL = {}, {}
@@ -97,6 +97,27 @@ def run_state_fold(spark, sf):
     return runs.run_state(_log(spark, sf))
 
 
+@query(
+    f"""with {v.RUNLOG}, e as (select run_id, min(sequence) filter (where type in ('final_report', 'error')) as fin from runlog group by 1)
+select run_id, event_id, type, cast(sequence as bigint) as sequence from runlog join e using (run_id) where sequence <= greatest(3, coalesce(fin, sequence))"""
+)
+def live_replay(spark, sf):
+    """The first three events of each run stored, the others as a log that grows while it is followed: it begins before the
+    stored ones end, is out of order and repeats events, also after a restart."""
+    root = f"{storage.shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    log = storage.written(_log(spark, sf).select("run_id", "event_id", "type", F.col("sequence").cast("long").alias("sequence")))
+    stored = log.where("sequence <= 3")
+    first = F.col("sequence") + F.pmod("event_id", F.lit(8)) < 12
+    late = log.where(~first).unionByName(log.where("sequence % 5 = 0"))
+    for part in (log.where(first & F.expr("sequence >= 2")), late):
+        part.repartition("event_id").write.mode("append").json(f"{root}/log")
+        live = spark.readStream.schema(log.schema).json(f"{root}/log")
+        with handover.settings(spark, handover.DRAINED):
+            followed = handover.follow(live, stored).writeStream.option("checkpointLocation", f"{root}/checkpoint")
+            followed.trigger(availableNow=True).start(f"{root}/followed", format="parquet").awaitTermination()
+    return stored.unionByName(spark.read.schema(log.schema).parquet(f"{root}/followed"))
+
+
 @query(f"with {v.RUNLOG} select run_id, type as stage, arg_max(progress, sequence) as progress, arg_max(message, sequence) as message from runlog group by 1, 2")
 def stage_progress(spark, sf):
     return runs.stage_progress(_log(spark, sf))
