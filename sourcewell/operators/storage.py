@@ -125,9 +125,10 @@ def read_generation(spark: SparkSession, root: str, kind: str, schema: str) -> D
 
 
 def sequence_events(events: DataFrame, order: list[str]) -> DataFrame:
-    """events with sequence, from 1 for each run, and progress_max, the highest progress so far."""
-    w = Window.partitionBy("run_id").orderBy(*order)
-    return events.withColumn("sequence", F.row_number().over(w)).withColumn("progress_max", F.max("progress").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """events with sequence, from 1 for each run, and progress_max, the highest progress so far; a run may be of any size."""
+    from .ordered import numbered
+
+    return numbered(events, ["run_id"], order, "sequence", {"progress_max": "progress"})
 
 
 def replay(events: DataFrame, after: int) -> DataFrame:

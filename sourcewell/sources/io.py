@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..functions.text import strip
 from ..operators.search import embedded
 
@@ -38,18 +36,9 @@ def unwrap(df: DataFrame, column: str = "payload", depth: int = 3) -> DataFrame:
 def first_json(df: DataFrame, column: str = "text") -> DataFrame:
     """df with first_json: the first JSON object or list inside a text, null if there is none."""
 
-    def scan(text: str | None) -> str | None:
-        decoder = json.JSONDecoder()
-        for m in re.finditer(r"[\[{]", text or ""):
-            try:
-                return json.dumps(decoder.raw_decode(text, m.start())[0], ensure_ascii=False)
-            except json.JSONDecodeError:
-                continue
-        return None
-
     @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(scan)
+        return texts.map(jsons.first_json)
 
     return df.withColumn("first_json", found(column))
 
