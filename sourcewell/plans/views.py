@@ -29,17 +29,21 @@ _PLATFORM_SQL = "case {0} % 7 " + " ".join(f"when {i} then '{p}'" for i, p in en
 
 def src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources of ten runs, with labels and the number of user turns as comments."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    tail = F.when(F.col("doc_id") % 2 == 0, "?ref=x").otherwise("/")
+    # What a document tells is made before the joins: a query that needs no whole text then sends none to them.
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("run_id"), _platform("doc_id").alias("platform"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.lit("").alias("summary"), F.col("text").alias("transcript"),
+        F.col("source").alias("creator"), F.concat(F.lit("https://example.com/v/"), (F.col("doc_id") % 800).cast("string"), tail).alias("url"),
+        (F.col("doc_id") % 3).alias("citation_count"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit("-07-15"))).alias("published"),
+    )
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     comments = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("n_comments"))
     rows = docs.join(labels, "doc_id", "left").join(comments, "doc_id", "left")
-    tail = F.when(F.col("doc_id") % 2 == 0, "?ref=x").otherwise("/")
     return rows.select(
-        F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("run_id"), _platform("doc_id").alias("platform"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.lit("").alias("summary"), F.col("text").alias("transcript"),
-        F.col("source").alias("creator"), F.concat(F.lit("https://example.com/v/"), (F.col("doc_id") % 800).cast("string"), tail).alias("url"),
+        "source_id", "run_id", "platform", "title", "summary", "transcript", "creator", "url",
         F.coalesce("n_comments", F.lit(0)).alias("n_comments"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("sponsored"),
-        (F.col("doc_id") % 3).alias("citation_count"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit("-07-15"))).alias("published"),
+        "citation_count", "published",
     )
 
 
