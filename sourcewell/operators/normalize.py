@@ -202,10 +202,14 @@ def xhs_comments(raw: DataFrame) -> DataFrame:
 
 
 def xhs_creators(raw: DataFrame) -> DataFrame:
-    counts = F.map_from_entries(F.transform(at("interactions", "array<struct<type:string,count:string>>"), lambda i: F.struct(i["type"], i["count"])))
-    tags = F.to_json(F.map_from_entries(F.transform(at("tags", "array<struct<tagType:string,name:string>>"), lambda g: F.struct(g["tagType"], g["name"]))))
-    extra = {c: F.coalesce(F.try_element_at(counts, F.lit(c)), F.lit("0")) for c in ("follows", "fans", "interaction")}
-    return _flat(raw, "xhs_creator", extra | {"gender": gender("xhs", at("basicInfo.gender")), "tag_list": F.coalesce(tags, F.lit("{}"))}, ("user_id",))
+    """Creators with their counts and tags as a JSON object; of repeated types the last entry counts, at the place of the
+    first, and entries without a type are left out."""
+    counts = F.reverse(at("interactions", "array<struct<type:string,count:string>>"))
+    tags = F.filter(at("tags", "array<struct<tagType:string,name:string>>"), lambda g: g["tagType"].isNotNull())
+    kinds = F.array_distinct(F.transform(tags, lambda g: g["tagType"]))
+    names = F.transform(kinds, lambda k: F.element_at(F.filter(tags, lambda g: g["tagType"] == k), -1)["name"])
+    extra = {c: F.coalesce(F.get(F.filter(counts, lambda i: i["type"] == c), F.lit(0))["count"], F.lit("0")) for c in ("follows", "fans", "interaction")}  # noqa: B023
+    return _flat(raw, "xhs_creator", extra | {"gender": gender("xhs", at("basicInfo.gender")), "tag_list": F.coalesce(F.to_json(F.map_from_arrays(kinds, names)), F.lit("{}"))}, ("user_id",))
 
 
 def kuaishou_videos(raw: DataFrame) -> DataFrame:

@@ -80,3 +80,10 @@ def test_sources(spark):
 
 def test_nested_comments(spark):
     assert n.nested_comments(raw(spark, {"id": 1, "comments": [{"id": 2}, {"id": 3}]}, post_id="p")).count() == 4
+
+
+def test_repeated_and_missing_types(spark):
+    """A creator's repeated tag and count types: the last entry counts, at the place of the first; none without a type."""
+    many = {"interactions": [{"type": "fans", "count": 1}, {"count": 9}, {"type": "fans", "count": 2}], "tags": [{"tagType": "a", "name": "x"}, {"name": "lost"}, {"tagType": "b", "name": "y"}, {"tagType": "a", "name": "z"}]}
+    got = rows(n.xhs_creators(raw(spark, many, {"interactions": [], "tags": []}, {"interactions": None}, user_id="u")))
+    assert [(r["fans"], r["follows"], r["tag_list"]) for r in got] == [("2", "0", '{"a":"z","b":"y"}'), ("0", "0", "{}"), ("0", "0", "{}"), ("0", "0", "{}")]
