@@ -12,7 +12,7 @@ from ..functions import constants as k
 from ..functions import text as t
 from ..functions import times, urls
 from ..operators import collect, coverage, evidence, grounding, normalize, report, responses, storage
-from ..sources import io
+from ..sources import io, relational
 from ..streaming import runs
 from . import research as r
 from . import tables
@@ -295,6 +295,44 @@ def saved_formats(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+@query(
+    """with b as (select c_custkey as id, c_name as name, c_mktsegment as segment, 2 as modified from customer
+union all select c_custkey, c_name, 'moved', c_custkey % 3 + 1 from customer where c_custkey % 2 = 0
+union all select c_custkey + 1000000000, c_name, 'added', c_custkey % 3 + 1 from customer where c_custkey % 5 = 0)
+select id, name, arg_max(segment, modified * 10 + (segment = 'moved')::int) as segment, cast(max(modified) as integer) as modified from b group by id, name"""
+)
+def relational_store(spark, sf):
+    """Customers in a database by key: all of them, then a batch of changed and added ones, of which a third is older, twice."""
+    c = v.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    age = (F.col("id") % 3 + 1).cast("int")
+    changed = c.where("id % 2 = 0").withColumns({"segment": F.lit("moved"), "modified": age})
+    added = c.where("id % 5 = 0").select((F.col("id") + 1_000_000_000).alias("id"), "name", F.lit("added").alias("segment"), age.alias("modified"))
+    database = _shared(spark, "store")
+    relational.upsert(c.withColumn("modified", F.lit(2)), database, "customers", ["id"], "modified", "first")
+    for _ in range(2):
+        relational.upsert(changed.unionByName(added), database, "customers", ["id"], "modified", "second")
+    return relational.read(spark, database, "customers", "id long, name string, segment string, modified int", "id")
+
+
+@query("select o_orderkey, o_orderpriority, case when o_orderkey % 3 > 0 then o_comment end as note from (select *, '[' || o_orderpriority || ',]' as o_comment from orders)")
+def json_array(spark, sf):
+    """Orders as one JSON array in pieces, and read again; notes hold brackets and are missing in a third."""
+    o = v.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.expr("case when o_orderkey % 3 > 0 then '[' || o_orderpriority || ',]' end").alias("note"))
+    path = _shared(spark, "array")
+    io.save(o, path, "array", keys=("o_orderkey",))
+    return io.read_array(spark, path, "o_orderkey long, o_orderpriority string, note string")
+
+
+@query("select o_orderkey, o_orderkey % 4 as day from orders order by day desc, o_orderkey limit 500")
+def crawl_newest(spark, sf):
+    """The first 500 rows of orders as crawl files of four days, newest first."""
+    o = v.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("day"))
+    root = _shared(spark, "crawl")
+    for day in range(4):
+        o.where(F.col("day") == day).orderBy("o_orderkey").write.json(f"{root}/weibo/jsonl/search_contents_2026-01-0{day + 1}.jsonl")
+    return io.read_crawl(spark, root, "weibo", "o_orderkey long, day long", limit=500)
+
+
 # ---- records within records ------------------------------------------------------------------------------------------
 
 
