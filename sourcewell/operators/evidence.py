@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -97,6 +97,16 @@ def transcript_chunks(sources: DataFrame, size: int = 1600, most: int = 12_000,
     return sources.select("source_id", F.posexplode(t.chunks("transcript", size, most, count)).alias("chunk", "text"))
 
 
+def register_chunks(spark: SparkSession) -> None:
+    """The same pieces as a table function for SQL: select s.*, c.* from sources s, lateral transcript_chunks(s.transcript) c.
+
+    An SQL function, so a text stays in the JVM and the plan is one generator; null and empty texts give no rows.
+    """
+    spark.sql("""create or replace temporary function transcript_chunks(body string, size int default 1600, most int default 12000, pieces int default 8)
+        returns table (chunk int, text string)
+        return select pos, col from posexplode(filter(transform(sequence(0, greatest(0, pieces - 1)), i -> substring(substring(coalesce(body, ''), 1, most), i * size + 1, size)), (x, i) -> i < pieces and x != ''))""")
+
+
 def attach_transcript(sources: DataFrame, segments: DataFrame, preview: int = 420) -> DataFrame:
     """sources with transcript and transcript_preview joined from their segments in order; blank ones don't count."""
     clean = segments.withColumn("text", t.squeeze(t.strip("text"))).where("text != ''")

@@ -295,11 +295,22 @@ def transcript_units(spark, sf):
     return evidence.transcript_units(v.segments(spark, sf)).drop("asr_confidence")
 
 
-@query("with c as (select doc_id as source_id, text, unnest(range(least(8, cast(ceil(least(12000, length(text)) / 1600.0) as bigint)))) as chunk from documents where text is not null) select source_id, cast(chunk as integer) as chunk, sha256(substr(substr(text, 1, 12000), cast(chunk as bigint) * 1600 + 1, 1600)) as text_sha256 from c")
+_CHUNKS = "with c as (select doc_id as source_id, text, unnest(range(least(8, cast(ceil(least(12000, length(text)) / 1600.0) as bigint)))) as chunk from documents where text is not null) select source_id, cast(chunk as integer) as chunk, sha256(substr(substr(text, 1, 12000), cast(chunk as bigint) * 1600 + 1, 1600)) as text_sha256 from c"
+
+
+@query(_CHUNKS)
 def transcript_chunks(spark, sf):
     return evidence.transcript_chunks(v.src(spark, sf)).select("source_id", "chunk", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query(_CHUNKS)
+def chunk_function(spark, sf):
+    """The same chunks by the table function in SQL."""
+    evidence.register_chunks(spark)
+    texts = v.src(spark, sf).select("source_id", "transcript")
+    return spark.sql("select s.source_id, c.chunk, sha2(c.text, 256) as text_sha256 from {texts} s, lateral transcript_chunks(s.transcript) c", texts=texts)
+
+
 def _citations(spark, sf):
     """A citation for each turn: a moment, a comment, a frame, a whole source or a broken one."""
     seg = v.segments(spark, sf)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import in_days
 from ..operators import collect, storage
-from ..streaming import handover, runs
+from ..streaming import handover, reuse, runs
 from . import views as v
 
 QUERIES, SQL = {}, {}
@@ -118,6 +118,20 @@ def live_replay(spark, sf):
     return stored.unionByName(spark.read.schema(log.schema).parquet(f"{root}/followed"))
 
 
+@query("select sha256(coalesce(text, '')) as content_hash, count(*) as media, 1 as transcribed, count(*) - 1 as reused from documents group by 1")
+def reuse_stream(spark, sf):
+    """Whole documents as media that arrive in three batches: of each content one is transcribed, whatever batch it is in."""
+    root = f"{storage.shared_dir(spark)}/reuse-{uuid.uuid4().hex}"
+    media = v.table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    hashed = storage.written(media)
+    for part in range(3):
+        hashed.where(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(f"{root}/media")
+        live = spark.readStream.schema(hashed.schema).parquet(f"{root}/media")
+        reuse.reuse(live, f"{root}/index", f"{root}/out", f"{root}/checkpoint", ["doc_id"]).awaitTermination()
+    told = spark.read.schema("doc_id long, content_hash string, reused boolean").parquet(f"{root}/out")
+    return told.groupBy("content_hash").agg(F.count(F.lit(1)).alias("media"), F.count_if(~F.col("reused")).cast("int").alias("transcribed"), F.count_if("reused").alias("reused"))
+
+
 @query(f"with {v.RUNLOG} select run_id, type as stage, arg_max(progress, sequence) as progress, arg_max(message, sequence) as message from runlog group by 1, 2")
 def stage_progress(spark, sf):
     return runs.stage_progress(_log(spark, sf))
