@@ -27,6 +27,14 @@ def _platform(column: str):
 _PLATFORM_SQL = "case {0} % 7 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(PLATFORMS[:-1])) + f" else '{PLATFORMS[-1]}' end"
 
 
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents alone, for queries that need whole texts and nothing of other tables: no text is shuffled for a join."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.col("text").alias("transcript"), F.col("source").alias("creator"))
+
+
+DOCS = "src as (select doc_id as source_id, substr(split_part(text, chr(10), 1), 1, 120) as title, text as transcript, source as creator from documents)"
+
+
 def src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sources of ten runs, with labels and the number of user turns as comments."""
     tail = F.when(F.col("doc_id") % 2 == 0, "?ref=x").otherwise("/")
