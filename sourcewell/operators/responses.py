@@ -29,11 +29,16 @@ def response_json(text: str | Column, array_key: str = "items") -> Column:
     return F.when(good.startswith("["), F.concat(F.lit(f'{{"{array_key}":'), good, F.lit("}"))).otherwise(good)
 
 
-def valid_ids(json_value: Column, allowed: Column, limit: int | None = None) -> Column:
-    """Ids in a JSON value (a number, a text, an object or a list of them) that are allowed, each once, in order."""
+def json_ids(json_value: Column) -> Column:
+    """Ids in a JSON value (a number, a text, an object or a list of them), in order; null for what is none."""
     listed = F.when(F.ltrim(json_value).startswith("["), F.from_json(json_value, "array<string>")).otherwise(F.array(json_value))
     one = lambda x: F.coalesce(F.get_json_object(x, "$.id"), F.get_json_object(x, "$.sourceId"), F.get_json_object(x, "$.source_id"), x).try_cast("bigint")
-    found = F.array_distinct(F.filter(F.transform(listed, one), lambda x: F.coalesce(F.array_contains(allowed, x), F.lit(False))))
+    return F.transform(listed, one)
+
+
+def valid_ids(json_value: Column, allowed: Column, limit: int | None = None) -> Column:
+    """Ids in a JSON value (a number, a text, an object or a list of them) that are allowed, each once, in order."""
+    found = F.array_distinct(F.filter(json_ids(json_value), lambda x: F.coalesce(F.array_contains(allowed, x), F.lit(False))))
     out = F.coalesce(found, F.array().cast("array<bigint>"))
     return F.slice(out, 1, limit) if limit else out
 
@@ -122,10 +127,20 @@ def contradiction_notes(df: DataFrame, path: str = "$.contradictions") -> DataFr
 
 
 def selected_sources(df: DataFrame, sources: DataFrame, limit: int = 24) -> DataFrame:
-    """sources (run_id, source_id) that a response selected, with their position in it."""
-    ids = valid_ids(F.coalesce(F.get_json_object("payload", "$.selectedSourceIds"), F.get_json_object("payload", "$.items")), F.col("allowed"), limit)
-    chosen = df.select("run_id", F.posexplode(ids).alias("position", "source_id"))
-    return sources.join(chosen, ["run_id", "source_id"])
+    """sources (run_id, source_id) that a response selected, with their position in it.
+
+    A response with a long list may come in parts (column part, in order). Only ids that sources have, and that are in
+    allowed where df has that column, count. Ids meet both as rows: no run's list is searched for each of its ids.
+    """
+    value = F.coalesce(F.get_json_object("payload", "$.selectedSourceIds"), F.get_json_object("payload", "$.items"))
+    parts = df.select("run_id", F.col("part") if "part" in df.columns else F.lit(0).alias("part"), F.posexplode(json_ids(value)).alias("pos", "source_id"))
+    keys = ["run_id", "source_id"]
+    at = parts.groupBy(*keys).agg(F.min(F.struct("part", "pos")).alias("at"))
+    known = sources.select(*keys).distinct()
+    if "allowed" in df.columns:
+        known = known.join(df.select("run_id", F.explode("allowed").alias("source_id")), keys, "left_semi")
+    chosen = top_by(at.join(known, keys, "left_semi"), ["run_id"], [F.col("at")], limit, "nth")
+    return sources.join(chosen.select(*keys, (F.col("nth") - 1).alias("position")), keys)
 
 
 def token_use(calls: DataFrame, max_calls: int = 10) -> DataFrame:

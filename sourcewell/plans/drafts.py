@@ -565,9 +565,11 @@ def contradiction_notes(spark, sf):
 
 @query(f"with {v.SRC}, s as (select source_id, run_id from src), p as (select run_id, list(source_id order by source_id desc) as ids from s group by 1), e as (select run_id, unnest(ids[1:24]) as source_id, generate_subscripts(ids[1:24], 1) - 1 as position from p) select run_id, source_id, cast(position as integer) as position from e")
 def selected_sources(spark, sf):
+    """Each run's response lists all of its sources, in parts of a thousand ids' range."""
     s = v.src(spark, sf).select("run_id", "source_id")
     ids = F.sort_array(F.collect_list("source_id"), asc=False)
-    answers = s.groupBy("run_id").agg(F.to_json(F.struct(ids.alias("selectedSourceIds"))).alias("payload"), F.collect_list("source_id").alias("allowed"))
+    part = (-F.floor(F.col("source_id") / 1000)).alias("part")
+    answers = s.groupBy("run_id", part).agg(F.to_json(F.struct(ids.alias("selectedSourceIds"))).alias("payload"))
     return responses.selected_sources(answers, s)
 
 

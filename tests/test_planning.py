@@ -91,3 +91,10 @@ def test_crawl_files_and_formats(spark, tmp_path):
         io.save(df, str(tmp_path / kind), kind)
     assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).where("v = 'a,\"b'").count() == 1
     assert io.find(df, {"id": 2}).count() == 1
+
+
+def test_selection_in_parts_without_a_list_of_allowed_ids(spark):
+    sources = spark.createDataFrame([(run, i) for run in (1, 2) for i in range(100)], "run_id long, source_id long")
+    parts = [(1, 1, '{"selectedSourceIds": [7, 500, 9, 3]}'), (1, 0, '{"items": [50, 3, {"id": 4}]}'), (2, 0, '{"items": 8}'), (2, 1, None)]
+    got = responses.selected_sources(spark.createDataFrame(parts, "run_id long, part int, payload string"), sources)
+    assert sorted(tuple(r) for r in got.select("run_id", "position", "source_id").collect()) == [(1, 0, 50), (1, 1, 3), (1, 2, 4), (1, 3, 7), (1, 4, 9), (2, 0, 8)]
