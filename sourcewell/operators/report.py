@@ -107,7 +107,8 @@ def signal_rows(sources: DataFrame, terms: DataFrame, positive: tuple[str, ...]
 def risk_bullets(sources: DataFrame, risks: DataFrame, most: int = 4, cited: int = 3) -> DataFrame:
     """run_id, term, citations: for a run's first risks up to three sources that hold the word, else its first two."""
     chosen = risks.where(F.col("rank") <= most)
-    hits = top_by(term_sources(sources, chosen, F.concat_ws(" ", "title", "summary")), ["run_id", "term"], [F.col("source_id")], cited, "nth")
+    # Whatever columns go through the scan travel with its hits.
+    hits = top_by(term_sources(sources.select("run_id", "source_id", "title", "summary"), chosen, F.concat_ws(" ", "title", "summary")), ["run_id", "term"], [F.col("source_id")], cited, "nth")
     own = hits.groupBy("run_id", "term").agg(F.sort_array(F.collect_list("source_id")).alias("own"))
     first = top_by(sources.select("run_id", "source_id"), ["run_id"], [F.col("source_id")], 2, "nth").groupBy("run_id").agg(F.sort_array(F.collect_list("source_id")).alias("first"))
     return chosen.join(own, ["run_id", "term"], "left").join(first, "run_id", "left").select("run_id", "term", "rank", F.coalesce("own", "first").alias("citations"))

@@ -244,9 +244,9 @@ def _shown(blocks: DataFrame) -> DataFrame:
     return blocks.select("run_id", "section_id", "block_type", "section_no", F.col("pos").cast("int").alias("pos"), "text", _ids("citations").alias("citations"))
 
 
-def _drafted(spark, sf):
-    s = r.decorated(spark, sf)
-    risks = report.risk_terms(s.select("run_id", F.concat_ws(" ", "title", "summary", "transcript").alias("text")), v.RISK)
+def _drafted(spark, sf, head=None):
+    s = r.decorated(spark, sf, head)
+    risks = r._risks(spark, sf)
     summary = drafts.evidence_sentence(s).select("run_id", F.lit(0).alias("pos"), F.col("sentence").alias("text"), F.array().cast("array<bigint>").alias("citations"))
     return s, summary, report.risk_bullets(s, risks)
 
@@ -271,7 +271,7 @@ lb as (select run_id, 'answer' as section_id, 'body' as block_type, 0 as section
 union all select run_id, 'avoid', 'bullet', 3, rank, 'Avoid or check ''' || term || '''', citations from rb union all select run_id, 'next_steps', 'bullet', 4, rank, 'Open ' || url, [source_id] from tp where rank between 4 and 6) {_SHOW}"""
 )
 def consumer_blocks(spark, sf):
-    s, summary, risks = _drafted(spark, sf)
+    s, summary, risks = _drafted(spark, sf, r.HEAD)
     top = collect.top_sources(s).withColumn("channels", collect.channels()).withColumn("signal", drafts.source_signal())
     return _shown(drafts.consumer_blocks(summary, top, risks))
 
@@ -286,8 +286,8 @@ mc as (select run_id, key, term, case when coalesce(snip, '') <> '' then candida
 
 def _cells(spark, sf):
     s, chosen, terms = r._dimensions(spark, sf)
-    conflicts = decision.contradictions(s, terms, v.POSITIVE, v.RISK)
-    matrix = decision.dimension_matrix(s, r._named(spark, sf), chosen, terms, conflicts)
+    conflicts = storage.written(decision.contradictions(s, terms, v.POSITIVE, v.RISK))
+    matrix = storage.written(decision.dimension_matrix(s, r._named(spark, sf), chosen, terms, conflicts))
     return chosen, terms, conflicts, matrix, drafts.matrix_cells(s, r._named(spark, sf), chosen, matrix)
 
 

@@ -10,6 +10,7 @@ from ..functions import segment
 from ..functions import text as t
 from ..functions import urls
 from ..operators import collect, coverage, decision, evidence, grounding, report
+from ..operators.storage import written
 from . import views as v
 
 QUERIES, SQL = {}, {}
@@ -27,8 +28,8 @@ def query(sql: str | None = None):
     return add
 
 
-def decorated(spark: SparkSession, sf: str) -> DataFrame:
-    return collect.decorate_sources(v.src(spark, sf), v.QUERY_TERMS)
+def decorated(spark: SparkSession, sf: str, head: int | None = None) -> DataFrame:
+    return collect.decorate_sources(v.src(spark, sf, head), v.QUERY_TERMS)
 
 
 def assessed(spark: SparkSession, sf: str) -> DataFrame:
@@ -468,10 +469,20 @@ def fallback_gate(spark, sf):
 _ZH = "case source_id % 4 when 0 then '降噪很好，音质清晰' when 1 then '佩戴舒适 音质一般' when 2 then '音质优秀。降噪弱' else '续航' end"
 
 
+def _text():
+    """The text that decisions are mined from: title, up to 6,000 characters of the transcript as in the surveyed feature, and
+    a Chinese remark."""
+    return F.concat_ws(" ", "title", F.substring("transcript", 1, 6000), F.expr(_ZH)).alias("text")
+
+
+def _scored_texts(spark, sf):
+    """Sources with that text and their evidence score."""
+    return decorated(spark, sf, 6000).withColumn("text", _text())
+
+
 def _texts(spark, sf):
-    """Sources with the text that decisions are mined from: title, up to 6,000 characters of the transcript as in the
-    surveyed feature, and a Chinese remark."""
-    return decorated(spark, sf).withColumn("text", F.concat_ws(" ", "title", F.substring("transcript", 1, 6000), F.expr(_ZH)))
+    """run_id, source_id and that text of the same sources, straight from the documents."""
+    return v.texts(spark, sf).select("run_id", "source_id", _text())
 
 
 _TEXTS = f"{v.DECORATED}, x as (select *, concat_ws(' ', title, substr(transcript, 1, 6000), {_ZH}) as txt from deco)"
@@ -479,7 +490,7 @@ _TEXTS = f"{v.DECORATED}, x as (select *, concat_ws(' ', title, substr(transcrip
 
 @query()
 def candidates(spark, sf):
-    s = _texts(spark, sf)
+    s = _scored_texts(spark, sf)
     return decision.candidates(s, decision.candidate_mentions(s))
 
 
@@ -498,7 +509,7 @@ chosen as (select *, row_number() over (partition by run_id order by n_sources d
 
 @query(f"with {_CHOSEN} select run_id, key, name, n_sources, score, rank from chosen")
 def candidate_scores(spark, sf):
-    return decision.candidates(_texts(spark, sf), _named(spark, sf))
+    return decision.candidates(_scored_texts(spark, sf), _named(spark, sf))
 
 
 _NEED = "the und sound of the day 降噪"
@@ -515,9 +526,11 @@ dims as (select *, row_number() over (partition by run_id order by score desc, l
 
 
 def _dimensions(spark, sf):
+    # Candidates and dimensions are a few rows a run that several steps ask for: both are made once, and Spark knows that
+    # they are small.
     s = _texts(spark, sf)
-    chosen = decision.candidates(s, _named(spark, sf))
-    return s, chosen, decision.dimensions(s, chosen, _NEED)
+    chosen = written(decision.candidates(_scored_texts(spark, sf), _named(spark, sf)))
+    return s, chosen, written(decision.dimensions(s, chosen, _NEED))
 
 
 @query(f"with {_DIMS} select run_id, term, n_sources, score, rank from dims")
@@ -539,7 +552,7 @@ def contradictions(spark, sf):
 
 def _matrix(spark, sf):
     s, chosen, terms = _dimensions(spark, sf)
-    return chosen, decision.dimension_matrix(s, _named(spark, sf), chosen, terms, decision.contradictions(s, terms, v.POSITIVE, v.RISK))
+    return chosen, written(decision.dimension_matrix(s, _named(spark, sf), chosen, terms, decision.contradictions(s, terms, v.POSITIVE, v.RISK)))
 
 
 _MATRIX = f"""{_CONFLICTS}, own as (select distinct m.run_id, m.key, m.source_id, lower(txt) as low from named m join chosen c on c.run_id = m.run_id and c.key = m.key join x on x.run_id = m.run_id and x.source_id = m.source_id),
@@ -569,12 +582,20 @@ def matrix_rows(spark, sf):
     return decision.matrix_rows(*_matrix(spark, sf))
 
 
+#: Characters of a transcript that decorate_sources() reads.
+HEAD = 420
+
+
+def _risks(spark, sf):
+    return written(report.risk_terms(v.texts(spark, sf).select("run_id", F.concat_ws(" ", "title", "summary", "transcript").alias("text")), v.RISK))
+
+
 def _blocks(spark, sf):
     """Report blocks of each run, built by the operators from the views."""
-    s = decorated(spark, sf)
+    s = decorated(spark, sf, HEAD)
     top = collect.top_sources(s)
     words = report.keywords(s.select("run_id", F.col("title").alias("text")), stop_words=v.STOP)
-    risks = report.risk_terms(s.select("run_id", F.concat_ws(" ", "title", "summary", "transcript").alias("text")), v.RISK)
+    risks = _risks(spark, sf)
     bullets = report.risk_bullets(s, risks)
     return report.report_blocks(coverage.coverage_summary(s), words, bullets, top)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import PLATFORMS
+from ..operators.storage import written
 
 #: Words that the synthetic texts have; term lists are parameters of the operators.
 QUERY_TERMS = ["the", "best", "und", "que", "les"]
@@ -35,13 +36,23 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS = "src as (select doc_id as source_id, substr(split_part(text, chr(10), 1), 1, 120) as title, text as transcript, source as creator from documents)"
 
 
-def src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sources of ten runs, with labels and the number of user turns as comments."""
+def _doc_rows(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("run_id"), _platform("doc_id").alias("platform"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.lit("").alias("summary"), *more,
+    )
+
+
+def src(spark: SparkSession, sf_dir: str, head: int | None = None) -> DataFrame:
+    """Documents as sources of ten runs, with labels and the number of user turns as comments.
+
+    With head, transcript is no more than that many characters: for queries that read only a text's beginning, or whether
+    there is one, so that no whole text travels for the joins.
+    """
     tail = F.when(F.col("doc_id") % 2 == 0, "?ref=x").otherwise("/")
     # What a document tells is made before the joins: a query that needs no whole text then sends none to them.
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("doc_id").alias("source_id"), (F.col("doc_id") % 10).alias("run_id"), _platform("doc_id").alias("platform"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"), F.lit("").alias("summary"), F.col("text").alias("transcript"),
+    docs = _doc_rows(
+        spark, sf_dir, (F.col("text") if head is None else F.substring("text", 1, head)).alias("transcript"),
         F.col("source").alias("creator"), F.concat(F.lit("https://example.com/v/"), (F.col("doc_id") % 800).cast("string"), tail).alias("url"),
         (F.col("doc_id") % 3).alias("citation_count"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("20"), F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lit("-07-15"))).alias("published"),
     )
@@ -55,6 +66,15 @@ def src(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, run_id, title, summary and whole transcript of the rows of src(), which has a document once for each of its
+    labels. Only ids with several labels, mostly none, are joined: a small table is sent to the texts then."""
+    docs = _doc_rows(spark, sf_dir, F.col("text").alias("transcript"))
+    several = written(table(spark, sf_dir, "labels").groupBy("doc_id").count().where("count > 1"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("count", F.lit(1).cast("long"))))
+    return docs.join(several, "doc_id", "left").select("source_id", "run_id", "title", "summary", "transcript", copies.alias("copy")).drop("copy")
+
+
 SRC = f"""src as (
   select d.doc_id as source_id, d.doc_id % 10 as run_id, {_PLATFORM_SQL.format('d.doc_id')} as platform,
     substr(split_part(d.text, chr(10), 1), 1, 120) as title, '' as summary, d.text as transcript, d.source as creator,
