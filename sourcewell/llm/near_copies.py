@@ -1,7 +1,8 @@
-"""One document of each group of near copies: exact shingle similarity, prefix filter, components.
+"""One document of each group of near copies: SimHash links, exact shingle similarity, prefix filter, components.
 
-Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Two such sets
-of any order of all shingles share one among the first n - ceil(0.8 n) + 1 of each (exact prefix filter), so texts that
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is at least 0.8. Pairs come from
+the operator of SimHash prints, by its multi-index hashing, and are checked by their whole sets. Prints within three bits
+don't reach all pairs at the threshold, so those that they miss come from an exact prefix filter: two such sets of any order of all shingles share one among the first n - ceil(0.8 n) + 1 of each (exact prefix filter), so texts that
 share none there are surely none. The order puts shingles that few texts have first, by a table of estimated counts of
 fixed size; the estimate only decides how many candidates there are, never which pairs are found.
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, dealt_join, map_texts, maybe_in, releasing, slices, stored
 from .components import components
+from .simhash import fingerprint
+from .simhash import links as print_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: All texts that meet at a shingle are paired up to this number of them; more are first paired with one of them.
@@ -103,14 +106,14 @@ def _enough(common, m, n, similarity: float):
 
 
 def _prints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, norm (hash of the lower-cased words), n (number of shingles), segments (those of its prefix, in order)
-    and sketch of each text."""
+    """doc_id, norm (hash of the lower-cased words), n (number of shingles), segments (those of its prefix, in order),
+    sketch and fp (SimHash print) of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(_counts(docs))
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         import xxhash
 
-        out: dict[str, list] = {"doc_id": rows["doc_id"], "norm": [], "n": [], "segments": [], "sketch": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "norm": [], "n": [], "segments": [], "sketch": [], "fp": []}
         for text in rows["text"]:
             words = _words(text)
             own = _shingles(words)
@@ -120,9 +123,20 @@ def _prints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             out["n"].append(len(own))
             out["segments"].append(own[order[:most]].view(np.int64).tolist())
             out["sketch"].append(_sketch(own))
+            bits = fingerprint(text, SHINGLE)
+            out["fp"].append(bits - (bits >> 63 << 64))
         return out
 
-    return map_texts(docs, run, "doc_id long, norm string, n int, segments array<long>, sketch binary")
+    return map_texts(docs, run, "doc_id long, norm string, n int, segments array<long>, sketch binary, fp long")
+
+
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """a, b: distinct pairs of nodes (node, fp), a > b, that SimHash links: each with the first of its print, and the first
+    ones of prints that differ in few bits."""
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")))
+    same = nodes.join(first, "fp").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    pairs = same.unionByName(print_links(first.select(F.col("low").alias("node"), "fp")))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _meetings(nodes: DataFrame) -> DataFrame:
@@ -218,10 +232,12 @@ def _judged(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _both(pairs, grams).select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("alike"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: pairs of nodes (node, n, segments, sketch) at least that similar, enough of them to join all such pairs' groups."""
+def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, linked: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs of nodes (node, n, segments, sketch) at least that similar, enough of them to join all such pairs' groups.
+    linked: pairs (a, b; a > b) to check besides those that meet."""
     met = _meetings(nodes)
-    pairs = stored(_few_pairs(met, similarity).unionByName(_star_pairs(met)).distinct())
+    pairs = _few_pairs(met, similarity).unionByName(_star_pairs(met))
+    pairs = stored((pairs if linked is None else pairs.unionByName(linked)).distinct())
     judged = stored(_judged(docs, stored(_possible(nodes, pairs, similarity))))
     near = judged.where(F.col("alike") >= similarity - 1e-12).select("a", "b")
     if met.where(F.col("met") > CROWD).isEmpty():
@@ -243,7 +259,8 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Rows of one norm are one node, that of the smallest id; only its prefix and sketch are read on.
     nodes = stored(prints.groupBy("norm").agg(F.min("doc_id").alias("node")))
     first = prints.where("doc_id is not null").join(nodes.select(F.col("norm"), F.col("node").alias("doc_id")), ["norm", "doc_id"], "left_semi").dropDuplicates(["norm"])
-    roots = components(links(docs, stored(first.select(F.col("doc_id").alias("node"), "n", "segments", "sketch")), similarity))
+    first = stored(first.select(F.col("doc_id").alias("node"), "n", "segments", "sketch", "fp"))
+    roots = components(links(docs, first.drop("fp"), similarity, _by_prints(first.select("node", "fp"))))
     groups = nodes.join(roots, "node", "left").select("norm", F.coalesce("root", "node").alias("group_id"))
     return prints.join(groups, "norm").where("doc_id != group_id").select("doc_id", "group_id")
 

@@ -128,3 +128,21 @@ def test_stages_with_odd_rows(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in stages["encode"](spark, df, str(tmp_path)).collect()}[1] == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pairs_come_from_simhash_links_and_are_checked(spark, monkeypatch):
+    """Pairs that the operator's prints link join groups, if they are near, even where the prefix filter is shut off."""
+    rng = random.Random(7)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(600)]
+    other = list(base)
+    other[300] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "far from both of them"), (4, None), (5, "")], "doc_id long, text string")
+    prints = near_copies._prints(docs).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in prints} == {r.doc_id: near_copies.fingerprint(r.text, near_copies.SHINGLE) for r in docs.collect()}
+    nodes = spark.createDataFrame([(1, 0), (2, 0b111), (3, -1), (4, 0b1111), (5, -1)], "node long, fp long")
+    assert {tuple(r) for r in near_copies._by_prints(nodes).collect()} >= {(2, 1), (4, 2), (5, 3)}
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "_few_pairs", lambda *_: none)
+    monkeypatch.setattr(near_copies, "_star_pairs", lambda *_: none)
+    monkeypatch.setattr(near_copies, "_by_prints", lambda _: spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"))
+    assert {tuple(r) for r in near_copies.copies(docs).collect()} == {(2, 1), (5, 4)}
