@@ -29,12 +29,12 @@ from .token_counts import pre_tokens
 LEXICON_WORDS = 60_000
 #: Words that a worker keeps in memory, twice: those seen since the last change of tables, and those before. About
 #: 400 bytes a word; a pipeline's workers hold other stages' tables as well, so it uses fewer than a query of its own.
-MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 40_000
+MEMO_WORDS, PIPELINE_MEMO_WORDS = 300_000, 20_000
 #: Different words that a task counts before it hands their counts on.
 COUNTED_WORDS = 60_000
 
 
-def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
+def word_counts(docs: DataFrame, tokenizer: str, done: Callable[[], None] | None = None) -> DataFrame:
     """word, n over the pre-tokens of all texts (doc_id, text): counted within a task, then summed by word."""
 
     def run(batches):
@@ -54,7 +54,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                     counts.clear()
         yield rows()
 
-    return docs.select("text").mapInArrow(releasing(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(releasing(run, done), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _BYTES = [bytes([b]) for b in range(256)]
@@ -158,14 +158,14 @@ def _mapped(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
+def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, done: Callable[[], None] | None = None) -> str:
     """Compile the corpus's most frequent words and give the file to all executors; returns its name.
 
     Words are grouped by the size of their counts, eight groups to a doubling; the groups with the largest counts
     whose words are no more than `words` together are in it.
     """
     spark = docs.sparkSession
-    counts = cut(word_counts(docs, tokenizer)).withColumn("size", F.floor(F.log2("n") * 8))
+    counts = cut(word_counts(docs, tokenizer, done)).withColumn("size", F.floor(F.log2("n") * 8))
     room, least = words, None
     for r in sorted(counts.groupBy("size").count().collect(), reverse=True):  # a few hundred groups at most
         room -= r["count"]
@@ -228,6 +228,12 @@ def _words(tokenizer: str, lexicon: str, memo: int, listed: bool) -> _Words:
     return _Words(vocabulary(tokenizer), _mapped(lexicon), memo, listed)
 
 
+def _forget() -> None:
+    """Free the tables of this worker."""
+    _words.cache_clear()
+    vocabulary.cache_clear()
+
+
 def encoded_texts(texts: list[str | None], words: _Words, each: Callable, of: Callable) -> list[list]:
     """For each text what `each` makes of the pre-tokens of its pieces, and `of` of special strings, in order."""
     out: list[list] = [[] for _ in texts]
@@ -247,9 +253,9 @@ def decode_ids(ids: list[int], vocab: Vocabulary) -> str:
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, memo: int = MEMO_WORDS) -> DataFrame:
     """doc_id and ids (array of int) for each row of docs (doc_id, text); a null or empty text gives no ids. With a
-    smaller memo than usual, workers free it after each partition."""
-    lexicon = lexicon or build_lexicon(docs, tokenizer)
-    done = _words.cache_clear if memo < MEMO_WORDS else None
+    smaller memo than usual, workers free it and the vocabulary after each partition."""
+    done = _forget if memo < MEMO_WORDS else None
+    lexicon = lexicon or build_lexicon(docs, tokenizer, done=done)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         words = _words(tokenizer, lexicon, memo, False)

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from sourcewell.llm import near_copies
 
@@ -146,3 +148,23 @@ def test_pairs_come_from_simhash_links_and_are_checked(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_star_pairs", lambda *_: none)
     monkeypatch.setattr(near_copies, "_by_prints", lambda _: spark.createDataFrame([(2, 1), (3, 2)], "a long, b long"))
     assert {tuple(r) for r in near_copies.copies(docs).collect()} == {(2, 1), (5, 4)}
+
+
+def test_stages_hand_small_batches_to_workers(spark, tmp_path):
+    """Each stage by itself, not the whole run alone: its workers get few rows at once, whenever its result is made."""
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.BATCHES}
+    df = spark.createDataFrame([(i, "some plain words", "en", "s", 16, "n") for i in range(3)], SCHEMA)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for name, value in before.items():
+                spark.conf.set(name, value)
+            out = stage(spark, df, str(tmp_path))
+            assert {name: spark.conf.get(name) for name in corpus_pipeline.BATCHES} == corpus_pipeline.BATCHES
+            assert "doc_id" in out.columns
+        rows = spark.range(5000, numPartitions=1)
+        sized = rows.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+        assert max(r.n for r in sized.collect()) <= 1000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
