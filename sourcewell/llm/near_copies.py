@@ -13,8 +13,10 @@ sound, so no pair at the threshold is lost.
 
 Where few texts meet at a shingle, all are paired. Where many meet, each is paired with the first of them; then those
 that are not linked yet are paired with each other across their groups, with texts of like lengths only and except
-where the triangle inequality of the Jaccard distance to that first text rules a pair out. So no pair at the threshold
-is missed that isn't linked otherwise, and a large group of copies needs a number of pairs in proportion to its size.
+where the triangle inequality of the Jaccard distance to that first text rules a pair out, or where too little follows
+the first place that both have: nothing before it is common. So no pair at the threshold is missed that isn't linked
+otherwise, and a large group of copies needs a number of pairs in proportion to its size, also if many edits of its text
+are too far from all others.
 """
 
 from __future__ import annotations
@@ -176,25 +178,44 @@ def _candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return _few_pairs(met, similarity).unionByName(_star_pairs(met)).distinct()
 
 
-def _across(met: DataFrame, roots: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
+def _spans(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """key, hi, lo, main, node, n, at, low, root, size: the nodes of crowded places that may still have a pair there, by the
+    length classes of the two; main is one of the roots that meet.
+
+    Lengths of near texts fall into one class of a factor of 1 / similarity or into two that follow each other. A pair that
+    shares an earlier shingle of both orders has met there, so here none that stands before the place is common. A node
+    is left out where what follows is too little for the shortest text of the other class; so is a place that has one root.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity)) if similarity < 1 else F.col("n")
+    own = met.where(F.col("met") > CROWD).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", size.cast("long"))
+    mate = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
+    shortest = F.pow(F.lit(1 / similarity), "mate") * (1 - 1e-9) if similarity < 1 else F.col("mate")
+    own = own.withColumn("mate", mate).where(_enough(F.col("n") - F.col("at"), F.col("n"), F.greatest(shortest, F.col("n") * similarity), similarity))
+    span = [F.greatest("size", "mate").alias("hi"), F.least("size", "mate").alias("lo")]
+    rows = stored(own.select("key", *span, "node", "n", "at", "low", "root", "size"))
+    mixed = rows.groupBy("key", "hi", "lo").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").drop("last")
+    return stored(rows.join(mixed, ["key", "hi", "lo"]))
+
+
+def _across(spans: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
     """a, b: pairs at crowded places that no component joins yet and that lengths, places and the similarities to the
     least node allow. A node that isn't near the least one has a similarity to it between 0 and the threshold. Texts that
-    have many such places in common are paired at the first of them only."""
-    own = met.where(F.col("met") > CROWD).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    have many such places in common are paired at the first of them only. Nodes of the main root aren't compared with each other."""
+    keys = spans.groupBy("node").agg(F.transform(F.sort_array(F.collect_set(F.struct("at", "key"))), lambda x: x["key"]).alias("keys"))
     hub = judged.select(F.col("a").alias("node"), F.col("b").alias("low"), "alike")
-    own = stored(own.join(mixed, "key"))
-    keys = own.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "key"))), lambda x: x["key"]).alias("keys"))
-    own = own.join(keys, "node").join(hub, ["node", "low"], "left")
     same = F.when(F.col("node") == F.col("low"), 1.0).otherwise(F.col("alike"))
-    # Lengths of near texts fall into one class of a factor of 1 / similarity or into two that follow each other.
-    size = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity)) if similarity < 1 else F.col("n")
-    rows = stored(own.select("key", size.cast("long").alias("size"), "root", F.struct("node", "at", "n").alias("a"), F.coalesce(same, F.lit(0.0)).alias("least"), F.coalesce(same, F.lit(similarity)).alias("most"), "keys"))
-    x = rows.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
-    y = rows.select("key", "size", F.col("root").alias("other"), F.col("a").alias("b"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("keys").alias("theirs"))
+    bounds = [F.coalesce(same, F.lit(0.0)).alias("least"), F.coalesce(same, F.lit(similarity)).alias("most")]
+    rows = spans.join(keys, "node").join(hub, ["node", "low"], "left")
+    rows = stored(rows.select("key", "hi", "lo", "main", "root", "size", F.struct("node", "at", "n").alias("a"), *bounds, "keys"))
+    x = rows.where("root != main")
+    y = rows.select("key", "hi", "lo", F.col("root").alias("other"), F.col("size").alias("length"), F.col("a").alias("b"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("keys").alias("theirs"))
+    once = (F.col("root") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("a.node") > F.col("b.node")))
+    classes = (F.col("hi") == F.col("lo")) | (F.col("size") != F.col("length"))
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     apart = F.greatest(F.col("least") - F.col("high"), F.col("low") - F.col("most")) <= 1 - similarity + 1e-9
-    pairs = x.join(y, ["key", "size"]).where(F.col("a.node") > F.col("b.node")).where((F.col("root") != F.col("other")) & apart & _allowed("a", "b", similarity) & (F.get(F.array_intersect("keys", "theirs"), F.lit(0)) == F.col("key")))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    first = F.get(F.array_intersect("keys", "theirs"), F.lit(0)) == F.col("key")
+    pairs = x.join(y, ["key", "hi", "lo"]).where(once & classes & _enough(left, F.col("a.n"), F.col("b.n"), similarity) & apart & first)
+    return pairs.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
 
 
 def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -232,21 +253,42 @@ def _judged(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return _both(pairs, grams).select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("alike"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, linked: DataFrame | None = None) -> DataFrame:
-    """a, b: pairs of nodes (node, n, segments, sketch) at least that similar, enough of them to join all such pairs' groups.
-    linked: pairs (a, b; a > b) to check besides those that meet."""
+def _linked(docs: DataFrame, nodes: DataFrame, similarity: float, linked: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Near pairs (a, b) of those that meet and of linked, near pairs across the components that these make, and those
+    components; None for no such pairs, or if there was nothing to join."""
     met = _meetings(nodes)
     pairs = _few_pairs(met, similarity).unionByName(_star_pairs(met))
     pairs = stored((pairs if linked is None else pairs.unionByName(linked)).distinct())
     judged = stored(_judged(docs, stored(_possible(nodes, pairs, similarity))))
     near = judged.where(F.col("alike") >= similarity - 1e-12).select("a", "b")
     if met.where(F.col("met") > CROWD).isEmpty():
-        return near
-    rest = stored(_across(met, components(near), judged, similarity))
-    rest = stored(_possible(nodes, stored(rest.join(pairs, ["a", "b"], "left_anti")), similarity))
+        return near, None, None
+    roots = stored(components(near))
+    spans = _spans(met, roots, similarity)
+    if spans.isEmpty():
+        return near, None, roots
+    rest = stored(_across(spans, judged, similarity).join(pairs, ["a", "b"], "left_anti"))
     if rest.isEmpty():
-        return near
-    return near.unionByName(_judged(docs, rest).where(F.col("alike") >= similarity - 1e-12).select("a", "b"))
+        return near, None, roots
+    more = _judged(docs, stored(_possible(nodes, rest, similarity)))
+    return near, stored(more.where(F.col("alike") >= similarity - 1e-12).select("a", "b")), roots
+
+
+def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, linked: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs of nodes (node, n, segments, sketch) at least that similar, enough of them to join all such pairs' groups.
+    linked: pairs (a, b; a > b) to check besides those that meet."""
+    near, more, _ = _linked(docs, nodes, similarity, linked)
+    return near if more is None else near.unionByName(more)
+
+
+def _roots(docs: DataFrame, nodes: DataFrame, similarity: float, linked: DataFrame) -> DataFrame:
+    """node, root: the components of links(). Those that the first pairs make aren't made again."""
+    near, more, roots = _linked(docs, nodes, similarity, linked)
+    if roots is None:
+        return components(near)
+    if more is None or more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -260,7 +302,7 @@ def copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = stored(prints.groupBy("norm").agg(F.min("doc_id").alias("node")))
     first = prints.where("doc_id is not null").join(nodes.select(F.col("norm"), F.col("node").alias("doc_id")), ["norm", "doc_id"], "left_semi").dropDuplicates(["norm"])
     first = stored(first.select(F.col("doc_id").alias("node"), "n", "segments", "sketch", "fp"))
-    roots = components(links(docs, first.drop("fp"), similarity, _by_prints(first.select("node", "fp"))))
+    roots = _roots(docs, first.drop("fp"), similarity, _by_prints(first.select("node", "fp")))
     groups = nodes.join(roots, "node", "left").select("norm", F.coalesce("root", "node").alias("group_id"))
     return prints.join(groups, "norm").where("doc_id != group_id").select("doc_id", "group_id")
 

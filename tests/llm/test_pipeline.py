@@ -70,6 +70,27 @@ def test_large_group_of_copies_stays_linear(spark):
     assert [r.doc_id for r in near_copies.drop_copies(df).collect()] == [0]
 
 
+def test_crowd_of_edits_that_are_too_far_makes_few_pairs(spark, monkeypatch):
+    """Texts with too many words of their own share most shingles with a large group, yet hardly a pair needs a check."""
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        for k in range(1 if i < 80 else 4):
+            own[5 + rng.randrange(25) + 36 * k] = f"e{i}x{k}"
+        rows.append((i, " ".join(own)))
+    rows.append((160, rows[100][1].replace(base[149], "twin")))
+    sets = {i: grams(t) for i, t in rows}
+    near = {i for i in sets if any(j < i and jaccard(sets[i], sets[j]) >= 0.8 for j in sets)}
+    assert near == {*range(1, 80), 160}
+    counts, possible = [], near_copies._possible
+    monkeypatch.setattr(near_copies, "_possible", lambda nodes, pairs, s: (counts.append(pairs.count()), possible(nodes, pairs, s))[1])
+    kept = near_copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == sets.keys() - near
+    assert sum(counts) < len(rows) * 20
+
+
 def test_appended_and_truncated_copies(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
