@@ -194,7 +194,7 @@ def _spans(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     span = [F.greatest("size", "mate").alias("hi"), F.least("size", "mate").alias("lo")]
     rows = stored(own.select("key", *span, "node", "n", "at", "low", "root", "size"))
     mixed = rows.groupBy("key", "hi", "lo").agg(F.min("root").alias("main"), F.max("root").alias("last")).where("main != last").drop("last")
-    return stored(rows.join(mixed, ["key", "hi", "lo"]))
+    return stored(rows.join(stored(mixed), ["key", "hi", "lo"]))  # stored, so that Spark can split a hot place
 
 
 def _across(spans: DataFrame, judged: DataFrame, similarity: float) -> DataFrame:
