@@ -34,6 +34,7 @@ def test_links_of_large_classes_are_whole(spark, pictures, monkeypatch):
     monkeypatch.setattr(media, "PAIRED", 16)
     for least in (image_links.LEAST_FEATURES, 400):
         monkeypatch.setattr(image_links, "LEAST_FEATURES", least)
+        monkeypatch.setattr(image_links, "PIECE", 5 * least)
         got = {r.media_id: (r.n_links, r.class_id) for r in media.copies(df).collect()}
         assert got == {i: expected.get(i, (0, i)) for i, _ in rows}
 
@@ -45,8 +46,7 @@ def _block(rng, ids, words):
     for _ in range(5):
         bits = bits ^ (rng.random((n, 4)) < 0.3) * (1 << rng.integers(0, 31, (n, 4)))
     rows = np.concatenate([np.zeros((n, 4), np.int32), bits.astype(np.int32)], axis=1)
-    orders = np.stack([np.argsort(rows[:, 4 + t], kind="stable").astype(np.int32) for t in range(4)])
-    return image_links._Block(np.array(ids).tobytes(), np.arange(0, n + 1, 6).tobytes(), rows.tobytes(), orders.tobytes())
+    return image_links._Block(image_links.packed(np.array(ids), np.arange(0, n + 1, 6), rows))
 
 
 @pytest.mark.parametrize("wide,at_once", [(1, 64), (1 << 13, 64), (1 << 13, 1 << 18)])
@@ -72,3 +72,55 @@ def test_close_features_are_those_of_all_pairs(monkeypatch, wide, at_once):
             monkeypatch.setattr(image_links, "MIN_VOTES", 1)
             list(image_links._linked(x, y))
             assert len(got) == len(truth) and set(got) == truth
+
+
+def test_steps_store_rows_in_proportion_to_images(spark, pictures, monkeypatch):
+    """Neither matches of features, of which a class has many for each link, nor its links are stored."""
+    rng = np.random.default_rng(6)
+    rows = [(i, bytearray(media.encode(np.clip(pictures[1] + rng.integers(0, 2, pictures[1].shape), 0, 255)))) for i in range(80)]
+    counts = []
+
+    def counted(df, own=media.stored, **options):
+        out = own(df, **options)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(media, "stored", counted)
+    monkeypatch.setattr(image_links, "stored", counted)
+    monkeypatch.setattr(image_links, "LEAST_FEATURES", 1000)
+    got = media.copies(spark.createDataFrame(rows, "media_id long, data binary")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 79)}
+    assert max(counts) <= 80 * image_links.SPREAD
+
+
+@pytest.mark.parametrize("shape", [(28, 28), (29, 61), (96, 96), (27, 90)])
+def test_corners_by_definition(shape):
+    image = np.random.default_rng(1).integers(0, 256, shape).astype(float)
+    gy, gx = (np.zeros(shape) for _ in "yx")
+    gx[:, 1:-1], gy[1:-1] = image[:, 2:] - image[:, :-2], image[2:] - image[:-2]
+    response = {}
+    for y in range(12, shape[0] - 12):
+        for x in range(12, shape[1] - 12):
+            u, v = (g[y - 2 : y + 3, x - 2 : x + 3] for g in (gx, gy))
+            xx, yy, xy = (u * u).sum() / 25, (v * v).sum() / 25, (u * v).sum() / 25
+            response[y, x] = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    peak = lambda y, x: response[y, x] > 50 and response[y, x] >= max(response[y + i, x + j] for i in (-1, 0, 1) for j in (-1, 0, 1))
+    truth = [(y, x) for y, x in response if 13 <= y < shape[0] - 13 and 13 <= x < shape[1] - 13 and peak(y, x)]
+    truth.sort(key=lambda at: -response[at])
+    if min(shape) < 28:
+        assert media.describe(image) == []
+        return
+    x, y = media._corners(image, 1000)
+    assert list(zip(y.tolist(), x.tolist(), strict=True)) == truth and (len(truth) > 2 or shape == (28, 28))
+
+
+def test_waves_of_pictures():
+    e = np.random.default_rng(2).normal(0, 0.125, 64)
+    e[::5] *= 0
+    y, x = np.mgrid[0:96, 0:96]
+    out = 128.0 + sum(14 * np.sin(2 * np.pi * ((0.03 + 0.25 * abs(e[k])) * x * np.sign(e[k] or 1) + (0.03 + 0.25 * abs(e[k + 8])) * y) + 20 * e[k + 16]) for k in range(8))
+    for k in range(22):
+        a, b, c, d, f = (e[(5 * k + j * 7 + k // 13) % 64] for j in range(5))
+        left, top = int((48 + 230 * a) % 96), int((48 + 230 * b) % 96)
+        out[top : top + 5 + int(90 * abs(c)), left : left + 5 + int(90 * abs(d))] += 300 * f
+    assert (np.rint(np.clip(out, 0, 255)) == np.rint(media.draw(list(e)))).all()
