@@ -80,8 +80,8 @@ def test_steps_store_rows_in_proportion_to_images(spark, pictures, monkeypatch):
     rows = [(i, bytearray(media.encode(np.clip(pictures[1] + rng.integers(0, 2, pictures[1].shape), 0, 255)))) for i in range(80)]
     counts = []
 
-    def counted(df, own=media.stored, **options):
-        out = own(df, **options)
+    def counted(df, *by, own=media.stored, **options):
+        out = own(df, *by, **options)
         counts.append(out.count())
         return out
 
@@ -124,3 +124,24 @@ def test_waves_of_pictures():
         left, top = int((48 + 230 * a) % 96), int((48 + 230 * b) % 96)
         out[top : top + 5 + int(90 * abs(c)), left : left + 5 + int(90 * abs(d))] += 300 * f
     assert (np.rint(np.clip(out, 0, 255)) == np.rint(media.draw(list(e)))).all()
+
+
+def test_blocks_are_read_whole(spark, monkeypatch):
+    """Several blocks of one task, each larger than what a task reads and than a row group of its size would be."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(image_links, "LEAST_FEATURES", 1500)
+    monkeypatch.setattr(image_links, "PIECE", 1000)
+    words = [[float(v) for v in rng.integers(-(2**31), 2**31, 4)] for _ in range(5)]
+    corner = lambda k, w: (10.0 * k, 7.0 * k * k % 50, 1.0, 0.5, *(int(v) for v in w))
+    rows = [(i, [corner(k, w) for k, w in enumerate(words if i in (3, 900) else rng.integers(-(2**31), 2**31, (5, 4)))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, f"media_id long, features array<{media._FEATURE}>")
+    changed = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.shuffle.partitions": "1", "parquet.block.size": "65536"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = image_links.linked(df, 6000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {(r.node, r.root, r.n) for r in got} == {(3, 3, 1), (900, 3, 1)} and len(got) == 2
